@@ -38,7 +38,9 @@ def frequent(df: DataFrame, key: str, tracked: int = TRACKED, groups: int = 64)
         .groupBy("part")
         .agg(F.expr(f"approx_top_k_accumulate(item, {size})").alias("summary"))
     )
-    merged = parts.agg(F.expr(f"approx_top_k_combine(summary, {size})").alias("summary"))
+    # A grouping key that never differs: unlike a global aggregate it starts no summary for an empty partition, which
+    # the merge could not read.
+    merged = parts.groupBy((F.col("part") < 0).alias("never")).agg(F.expr(f"approx_top_k_combine(summary, {size})").alias("summary"))
     found = merged.select(F.explode(F.expr(f"approx_top_k_estimate(summary, {tracked})")).alias("x"))
     return found.select(F.col("x.item").alias(key))
 
