@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import exact_dedup, line_dedup, sharding
+from orrery.llm import exact_dedup, line_dedup, sharding, simhash
 from orrery.session import table
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -25,7 +25,16 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op4_line_dedup": op4_line_dedup, "op6_sharding": op6_sharding}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
+    "op4_line_dedup": op4_line_dedup,
+    "op6_sharding": op6_sharding,
+    "op10_simhash": op10_simhash,
+}
 ORACLES = {
     "op2_exact_dedup": f"""
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UP}', '{LOW}') AS norm FROM documents)
