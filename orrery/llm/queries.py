@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import embedding_dedup, exact_dedup, line_dedup, sharding, simhash, token_counts
+from orrery.llm import embedding_dedup, exact_dedup, line_dedup, mixing, sharding, simhash, token_counts
 from orrery.session import table
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,6 +31,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", F.transform("draws", lambda d: d["shard"]).alias("shards"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -44,6 +49,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,
     "op6_sharding": op6_sharding,
+    "op7_mixing": op7_mixing,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_simhash": op10_simhash,
 }
