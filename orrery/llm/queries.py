@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import embedding_dedup, exact_dedup, line_dedup, mixing, sharding, simhash, token_counts
+from orrery.llm import embedding_dedup, exact_dedup, line_dedup, mixing, quality, sharding, simhash, token_counts
 from orrery.session import table
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -26,6 +26,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = sharding.shard_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -48,6 +52,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,
+    "op5_quality": op5_quality,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
     "op9_embedding_dedup": op9_embedding_dedup,
