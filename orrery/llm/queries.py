@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import embedding_dedup, exact_dedup, line_dedup, mixing, quality, sharding, simhash, token_counts
+from orrery.llm import embedding_dedup, exact_dedup, line_dedup, mixing, pieces, quality, sharding, simhash, token_counts
 from orrery.session import table
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,6 +40,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", F.transform("draws", lambda d: d["shard"]).alias("shards"))
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations a document, decoded again and compared with the text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("before"))
+    coded = pieces.encode(docs).select("doc_id", "before", "rank", F.size("ids").alias("n_pieces"), "log_prob", "perturbed", "inclusion", F.crc32(F.to_json("ids").cast("binary")).alias("ids_crc32"), "ids")
+    done = pieces.decode(coded, drop_ids=True)
+    return done.select("doc_id", "rank", "n_pieces", "ids_crc32", "log_prob", "perturbed", "inclusion", (F.sha2("text", 256) == F.col("before")).alias("round_trip"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -55,6 +63,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
+    "op8_pieces": op8_pieces,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_simhash": op10_simhash,
 }
