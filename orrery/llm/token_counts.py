@@ -36,6 +36,8 @@ TOKENIZER, LIMIT = "byte_bpe_50k.json", 1024
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Tables of pieces up to so many code points are kept; when so many are held, all are dropped.
 SHORT, HELD = 48, 500_000
+#: Texts whose new pieces are looked at together.
+TOGETHER = 256
 
 
 def byte_alphabet() -> list[str]:
@@ -45,6 +47,16 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in printable else chr(next(moved)) for b in range(256)]
 
 
+_MULT = 0x9E3779B97F4A7C15
+
+
+def _hash(raw: bytes) -> int:
+    h = 0
+    for c in raw:
+        h = ((h ^ c) * _MULT ^ h >> 29) & ((1 << 64) - 1)
+    return h
+
+
 class PrefixCounter:
     """Prefix counts for one tokenizer file."""
 
@@ -66,7 +78,9 @@ class PrefixCounter:
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.beside: dict[tuple[str, str], bool] = {}
         self.tables: dict[str, bytes] = {}
-        self.ended: dict[str, tuple[str, int]] = {}
+        # Tried pairs of tokens, sorted, and those tried since.
+        self.pairs, self.pair_fits, self.fresh = np.array([-1], dtype=np.int64), np.array([False]), {}
+        self._index()
 
     def _may_follow(self, a: str, b: str) -> bool:
         got = self.beside.get((a, b))
@@ -92,67 +106,139 @@ class PrefixCounter:
     def _mapped(self, piece: str) -> str:
         return piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet)
 
-    def _short(self, piece: str) -> bytes:
-        """Counts of the prefixes by code points of a short piece, a byte each."""
-        got = self.tables.get(piece)
-        if got is not None:
-            return got
-        if len(self.ended) > HELD or len(self.tables) > HELD:
-            self.ended.clear()
+    def _index(self) -> None:
+        """For each length in bytes, hashes of the tokens and of the starts of longer tokens, sorted, with numbers."""
+        back = {ord(c): chr(b) for b, c in enumerate(byte_alphabet())}
+        self.names = sorted(self.vocab)
+        raw = [v.translate(back).encode("latin-1") for v in self.names]
+        self.tokens_by, self.starts_by = [], []
+        for n in range(1, 1 + max(map(len, raw))):
+            own = sorted((_hash(r), i) for i, r in enumerate(raw) if len(r) == n)
+            hashes = np.array([h for h, _ in own], dtype=np.uint64)
+            if len(set(hashes.tolist())) != len(hashes):
+                raise ValueError("two tokens with one hash")
+            self.tokens_by.append((hashes, np.array([i for _, i in own], dtype=np.int64)))
+            self.starts_by.append(np.array(sorted({_hash(r[:n]) for r in raw if len(r) > n}), dtype=np.uint64))
+
+    def _tokens_in(self, codes: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All tokens inside joined pieces: (start, length, number). end: of the piece that each byte is in."""
+        at, h, found = np.arange(len(codes)), np.zeros(len(codes), dtype=np.uint64), []
+        for n, ((hashes, numbers), starts) in enumerate(zip(self.tokens_by, self.starts_by, strict=True), 1):
+            inside = at + n <= end[at]
+            at, h = at[inside], h[inside]
+            if not len(at):
+                break
+            with np.errstate(over="ignore"):
+                h = (h ^ codes[at + n - 1]) * np.uint64(_MULT) ^ (h >> np.uint64(29))
+            if len(hashes):
+                k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                hit = hashes[k] == h
+                found.append((at[hit], np.full(int(hit.sum()), n), numbers[k[hit]]))
+            if not len(starts):
+                break
+            on = starts[np.minimum(np.searchsorted(starts, h), len(starts) - 1)] == h
+            at, h = at[on], h[on]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _fits(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Whether each token may follow the one before it."""
+        pair = before * len(self.names) + token
+        k = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        out = self.pair_fits[k]
+        unknown = np.flatnonzero(self.pairs[k] != pair)
+        if len(unknown):
+            new, which = np.unique(pair[unknown], return_inverse=True)
+            fits = []
+            for p in new.tolist():
+                got = self.fresh.get(p)
+                if got is None:
+                    a, b = divmod(p, len(self.names))
+                    got = self.fresh[p] = self._may_follow(self.names[a], self.names[b])
+                fits.append(got)
+            out[unknown] = np.array(fits)[which]
+        return out
+
+    def _settle(self) -> None:
+        """Sort the newly tried pairs in among the known ones."""
+        if not self.fresh:
+            return
+        pairs = np.concatenate([self.pairs, np.array(list(self.fresh), dtype=np.int64)])
+        fits = np.concatenate([self.pair_fits, np.array(list(self.fresh.values()), dtype=bool)])
+        order = np.argsort(pairs)
+        self.pairs, self.pair_fits, self.fresh = pairs[order], fits[order], {}
+
+    def build(self, pieces: list[str]) -> None:
+        """Prefix tables of new short pieces, all together: the recurrence runs over the bytes of all of them at once."""
+        if len(self.tables) > HELD:
             self.tables.clear()
-        ended, vocab, beside, longest = self.ended, self.vocab, self.beside, self.longest
-        mapped = self._mapped(piece)
-        known = len(mapped)
-        while known and mapped[:known] not in ended:
-            known -= 1
-        for end in range(known + 1, len(mapped) + 1):
-            prefix = mapped[:end]
-            if prefix in vocab and end <= longest:
-                ended[prefix] = (prefix, 1)
-                continue
-            for start in range(max(1, end - longest), end):
-                token = prefix[start:]
-                if token in vocab:
-                    before, n = ended[prefix[:start]]
-                    if (fits := beside.get((before, token))) or fits is None and self._may_follow(before, token):
-                        ended[prefix] = (token, n + 1)
-                        break
-            else:
-                raise ValueError("a byte without a token")
-        if len(mapped) == len(piece):
-            got = bytes([ended[mapped[:k]][1] for k in range(1, len(mapped) + 1)])
-        else:
-            ends, at = [], 0
-            for c in piece:
-                at += len(c.encode("utf-8", "surrogatepass"))
-                ends.append(at)
-            got = bytes([ended[mapped[:k]][1] for k in ends])
-        self.tables[piece] = got
-        return got
+        pieces = [p for p in dict.fromkeys(pieces) if p not in self.tables]
+        if not pieces:
+            return
+        if len(self.pairs) > 4 * HELD:
+            self.pairs, self.pair_fits = self.pairs[:1], self.pair_fits[:1]
+        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        ends = np.cumsum(size)
+        begin, end = np.repeat(ends - size, size), np.repeat(ends, size)
+        codes = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        start, length, token = self._tokens_in(codes.astype(np.uint64), end)
+        # Candidates for the last token of each prefix, the longest first. A prefix is named by its last byte.
+        order = np.lexsort((-length, start + length))
+        start, length, token = start[order], length[order], token[order]
+        head = np.searchsorted(start + length - 1, np.arange(len(codes)))
+        last, count = np.zeros(len(codes), dtype=np.int64), np.zeros(len(codes), dtype=np.int64)
+        offset = np.arange(len(codes)) - begin
+        by_offset = np.argsort(offset, kind="stable")
+        edges = np.searchsorted(offset[by_offset], np.arange(int(size.max()) + 1))
+        for o in range(int(size.max())):
+            open_ = by_offset[edges[o] : edges[o + 1]]
+            arc = head[open_]
+            while len(open_):
+                if (start[arc] + length[arc] - 1 != open_).any():
+                    raise ValueError("a byte without a token")
+                whole = start[arc] == begin[open_]
+                ok = whole.copy()
+                rest = np.flatnonzero(~whole)
+                if len(rest):
+                    ok[rest] = self._fits(last[start[arc[rest]] - 1], token[arc[rest]])
+                done = open_[ok]
+                last[done] = token[arc[ok]]
+                count[done] = 1 + np.where(whole[ok], 0, count[start[arc[ok]] - 1])
+                open_, arc = open_[~ok], arc[~ok] + 1
+        self._settle()
+        # Prefixes by code points end before a byte that starts a character.
+        ends_char = np.concatenate([codes[1:] & 0xC0 != 0x80, [True]])
+        flat = count[ends_char].astype(np.uint8).tobytes()
+        at = 0
+        for p in pieces:
+            self.tables[p] = flat[at : at + len(p)]
+            at += len(p)
 
     def piece_counts(self, piece: str) -> np.ndarray:
         """Counts of the prefixes of 1..n code points of a piece."""
         if len(piece) <= SHORT:
-            return np.frombuffer(self._short(piece), dtype=np.uint8).astype(np.int64)
+            if piece not in self.tables:
+                self.build([piece])
+            return np.frombuffer(self.tables[piece], dtype=np.uint8).astype(np.int64)
         mapped = self._mapped(piece)
         last, count = [""], [0]
         self._extend(mapped, last, count)
         ends = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in piece])
         return np.array(count)[ends]
 
-    def _tables_of(self, pieces: list[str]) -> bytes:
-        """Prefix tables of short pieces, one after the other."""
-        known, short = self.tables.get, self._short
-        return b"".join([known(p) or short(p) for p in pieces])
-
-    def _ordinary(self, text: str) -> np.ndarray:
+    def _ordinary(self, text: str, pieces: list[str] | None = None) -> np.ndarray:
         """Counts of all prefixes (0..n code points) of a text without special tokens."""
-        pieces = self.pattern.findall(text)
+        pieces = self.pattern.findall(text) if pieces is None else pieces
         if not pieces:
             return np.zeros(1, dtype=np.int64)
+        known = self.tables.get
+        tables = list(map(known, pieces))
+        if None in tables:
+            self.build([p for p in pieces if len(p) <= SHORT])
+            tables = list(map(known, pieces))
         sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
         if sizes.max() <= SHORT:
-            inner = np.frombuffer(self._tables_of(pieces), dtype=np.uint8).astype(np.int64)
+            inner = np.frombuffer(b"".join(tables), dtype=np.uint8).astype(np.int64)
         else:
             inner = np.concatenate([self.piece_counts(p) for p in pieces])
         ends = np.cumsum(sizes)
@@ -171,6 +257,16 @@ class PrefixCounter:
                 start += size
         return out
 
+    def all_prefix_counts(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """``prefix_counts`` of each text; what their pieces need is built for TOGETHER texts at once."""
+        for s in range(0, len(texts), TOGETHER):
+            group = [t or "" for t in texts[s : s + TOGETHER]]
+            plain = [not (self.special and self.special.search(t)) for t in group]
+            split = [self.pattern.findall(t) if p else None for t, p in zip(group, plain, strict=True)]
+            self.build([p for pieces in split if pieces for p in pieces if p not in self.tables and len(p) <= SHORT])
+            for t, pieces in zip(group, split, strict=True):
+                yield self.prefix_counts(t) if pieces is None else self._ordinary(t, pieces)
+
     def prefix_counts(self, text: str | None) -> np.ndarray:
         """Tokens of text[:k] for k = 0..len(text)."""
         text = text or ""
@@ -223,10 +319,9 @@ def token_counts(docs: DataFrame, text_col: str = "text", tokenizer: str = TOKEN
         dp = counter(tokenizer)
         for batch in batches:
             n_bytes, n_tokens, fits, whole = [], [], [], []
-            for value in batch.column(len(kept)):
-                s = value.as_py() or ""
-                counts = dp.prefix_counts(s)
-                n_bytes.append(len(s.encode("utf-8", "surrogatepass")))
+            texts = batch.column(len(kept)).to_pylist()
+            for s, counts in zip(texts, dp.all_prefix_counts(texts), strict=True):
+                n_bytes.append(len((s or "").encode("utf-8", "surrogatepass")))
                 n_tokens.append(int(counts[-1]))
                 fits.append([truncation_point(counts, limit) for limit in limits])
                 if tables:
