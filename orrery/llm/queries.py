@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import embedding_dedup, exact_dedup, line_dedup, mixing, pieces, quality, sharding, simhash, token_counts
+from orrery.llm import chat, embedding_dedup, exact_dedup, line_dedup, mixing, pieces, quality, sharding, simhash, token_counts
 from orrery.session import table
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = chat.link(table(spark, sf_dir, "conversations"))
+    return linked.select("conv_id", "turn", "layer", "status", "call_id", "n_calls", "n_results", "valid", F.sha2("record", 256).alias("record_sha256"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat": op1_chat,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,
@@ -68,6 +74,29 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 ORACLES = {
+    "op1_chat": """
+        WITH c AS (SELECT conv_id, turn, 'turn-' || turn AS call_id, text, count(*) OVER w AS n_calls, row_number() OVER (w ORDER BY text NULLS LAST) AS k
+                   FROM conversations WHERE lower(role) = 'user' WINDOW w AS (PARTITION BY conv_id, turn)),
+        r AS (SELECT conv_id, turn, 'turn-' || (turn - 1) AS call_id, text, count(*) OVER w AS n_results, row_number() OVER (w ORDER BY text NULLS LAST) AS k
+              FROM conversations WHERE lower(role) = 'assistant' WINDOW w AS (PARTITION BY conv_id, turn)),
+        j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS turn, coalesce(c.call_id, r.call_id) AS call_id,
+                     c.n_calls, r.n_results, c.text AS prompt, r.text AS answer
+              FROM (FROM c WHERE k = 1) c FULL JOIN (FROM r WHERE k = 1) r ON c.conv_id = r.conv_id AND c.call_id = r.call_id)
+        SELECT conv_id, turn, 0 AS layer,
+               CASE WHEN n_calls IS NULL THEN 'result_without_call' WHEN n_results IS NULL THEN 'call_without_result' ELSE 'linked' END AS status,
+               call_id, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
+               CASE WHEN n_calls IS NOT NULL THEN prompt IS NOT NULL END AS valid,
+               sha256('{' || concat_ws(',',
+                   CASE WHEN n_calls IS NOT NULL THEN '"arguments":' || CASE WHEN prompt IS NULL THEN '{}' ELSE json_object('prompt', prompt)::VARCHAR END END,
+                   '"id":"' || call_id || '"',
+                   CASE WHEN n_calls IS NOT NULL THEN '"name":"respond"' END,
+                   '"result":' || to_json(answer)::VARCHAR) || '}') AS record_sha256
+        FROM j
+        UNION ALL
+        SELECT conv_id, turn, 0, 'context', NULL, 0, 0, NULL,
+               sha256(CASE WHEN text IS NULL THEN '{"role":' || to_json(lower(role))::VARCHAR || '}'
+                      ELSE '{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(lower(role))::VARCHAR || '}' END)
+        FROM conversations WHERE lower(role) NOT IN ('user', 'assistant')""",
     "op2_exact_dedup": f"""
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UP}', '{LOW}') AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
