@@ -45,9 +45,9 @@ TOKENIZER, K, ALPHA, SEED = "piece_bpe_32k.model", 2, 1.0, 23
 #: Fixed value: the character that stands for a space in pieces.
 SPACE = "▁"
 #: Units up to so many characters are sampled together; their lattices are kept, so many states at most.
-SHORT, STATES = 32, 900_000
+SHORT, STATES = 32, 1_500_000
 #: Units sampled at once, whole texts at least.
-AT_ONCE = 60_000
+AT_ONCE = 30_000
 BYTES = 1 << 21  # ids from here on stand for the byte pieces of the character id - BYTES
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -102,13 +102,17 @@ class Vocabulary:
             self.bytes_of[i] = p.encode()
         for k, i in enumerate(byte):
             self.bytes_of[i] = bytes([k])
+        self.byte_size = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
+        self.byte_start = np.cumsum(self.byte_size) - self.byte_size
+        self.byte_pool = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
         self.reset()
 
     def reset(self) -> None:
         self.start: dict[str, int] = {}
         self.n_states = self.n_arcs = 0
-        self.first = np.zeros(1024, dtype=np.int64)  # of a state's arcs
-        self.upto, self.next, self.piece, self.logp = np.zeros(4096), np.zeros(4096, dtype=np.int64), np.zeros(4096, dtype=np.int64), np.zeros(4096)
+        self.first = np.zeros(1024, dtype=np.int32)  # of a state's arcs
+        # Of each arc: probability up to and with it among its state's, state after it (-1: none), id, log-probability.
+        self.upto, self.next, self.piece, self.logp = np.zeros(4096, dtype=np.float32), np.zeros(4096, dtype=np.int32), np.zeros(4096, dtype=np.int32), np.zeros(4096)
 
     def arcs(self, unit: str) -> list[list[tuple[int, float, int]]]:
         """For each position, (id, log-weight, position after it)."""
@@ -134,7 +138,11 @@ class Vocabulary:
             if len(set(hashes.tolist())) != len(hashes):
                 raise ValueError("two pieces with one hash")
             self.pieces_by.append((hashes, np.array([i for _, i, _ in own], dtype=np.int64), np.array([w for _, _, w in own])))
-            self.starts_by.append(np.array(longer, dtype=np.uint64))
+            # A table of hash ends says no at once to most of what is no piece, and to what begins none.
+            own_ends, starts = np.zeros(1 << 18, dtype=bool), np.zeros(1 << 18, dtype=bool)
+            own_ends[(hashes >> np.uint64(46)).astype(np.int64)] = True
+            starts[(np.array(longer, dtype=np.uint64) >> np.uint64(46)).astype(np.int64)] = True
+            self.starts_by.append((own_ends, starts if longer else None))
 
     @staticmethod
     def _hash(text: str) -> int:
@@ -147,7 +155,7 @@ class Vocabulary:
         return self.unit.findall(f" {text}") if text else []
 
     def _lookup(self, codes: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All arcs over joined units: (position, length, id, weight), by position and length. end: of each position's unit."""
+        """All arcs over joined units: (position, length, id, weight), by position. end: of each position's unit."""
         at, h = np.arange(len(codes)), np.zeros(len(codes), dtype=np.uint64)
         found, single = [], np.zeros(len(codes), dtype=bool)
         mult = np.uint64(0x9E3779B97F4A7C15)
@@ -159,24 +167,36 @@ class Vocabulary:
             with np.errstate(over="ignore"):
                 h = (h ^ codes[at + n - 1]) * mult ^ (h >> np.uint64(29))
             hashes, ids, weights = self.pieces_by[n - 1]
+            own_ends, starts = self.starts_by[n - 1]
+            ends = (h >> np.uint64(46)).astype(np.int32)
             if len(hashes):
-                k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                hit = hashes[k] == h
-                found.append((at[hit], np.full(int(hit.sum()), n), ids[k[hit]], weights[k[hit]]))
+                likely = np.flatnonzero(own_ends[ends])
+                k = np.minimum(np.searchsorted(hashes, h[likely]), len(hashes) - 1)
+                hit = hashes[k] == h[likely]
+                places = at[likely[hit]]
+                found.append((places, np.full(len(places), n), ids[k[hit]], weights[k[hit]]))
                 if n == 1:
-                    single[at[hit]] = True
-            starts = self.starts_by[n - 1]
-            if not len(starts):
+                    single[places] = True
+            if starts is None:
                 break
-            on = starts[np.minimum(np.searchsorted(starts, h), len(starts) - 1)] == h
+            on = starts[ends]
             at, h = at[on], h[on]
         bare = np.flatnonzero(~single)
         c = codes[bare].astype(np.int64)
         n_bytes = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
         found.append((bare, np.ones(len(bare), dtype=np.int64), BYTES + c, self.byte_weight * n_bytes))
+        # Each part has a position once at most, so counting puts the arcs in order without sorting.
+        count, rank = np.zeros(len(codes), dtype=np.int64), []
+        for places, *_ in found:
+            rank.append(count[places])
+            count[places] += 1
+        first = np.cumsum(count) - count
         place, length, ids, weights = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((length, place))
-        return place[order], length[order], ids[order], weights[order]
+        to = first[place] + np.concatenate(rank)
+        out = np.empty(len(to), dtype=np.int64), np.empty(len(to), dtype=np.int64), np.empty(len(to), dtype=np.int64), np.empty(len(to))
+        for new, old in zip(out, (place, length, ids, weights), strict=True):
+            new[to] = old
+        return out
 
     def add_all(self, units: list[str]) -> None:
         """Build the lattices of new short units, all together."""
@@ -209,9 +229,8 @@ class Vocabulary:
         self._room(n, len(src))
         base, at = self.n_states, self.n_arcs
         own = slice(at, at + len(src))
-        state = base + src
-        self.upto[own] = state + np.minimum(inner, 1.0)
-        self.upto[at + first[1:] - 1] = base + np.arange(1, n + 1)
+        self.upto[own] = inner
+        self.upto[at + first[1:] - 1] = 2.0
         self.next[own] = np.where(final, -1, base + dst)
         self.piece[own], self.logp[own] = piece, logp
         self.first[base : base + n + 1] = at + first
@@ -254,11 +273,11 @@ class Vocabulary:
         self._room(n, sum(map(len, arcs)))
         base, at = self.n_states, self.n_arcs
         for i in range(n):
-            state, total, last = base + i, 0.0, len(arcs[i]) - 1
-            self.first[state] = at
+            total, last = 0.0, len(arcs[i]) - 1
+            self.first[base + i] = at
             for k, ((piece, _, j), lp) in enumerate(zip(arcs[i], logp[i], strict=True)):
                 total += math.exp(lp)
-                self.upto[at] = state + 1 if k == last else state + min(total, 1.0)
+                self.upto[at] = 2.0 if k == last else total
                 self.next[at] = base + j if j < n else -1
                 self.piece[at], self.logp[at] = piece, lp
                 at += 1
@@ -267,20 +286,25 @@ class Vocabulary:
         self.start[unit] = base
         return base
 
-    def sample(self, states: np.ndarray, key: np.ndarray, number: int, unit: np.ndarray, width: int) -> np.ndarray:
-        """(units, width) arcs of a segmentation of each unit, -1 after the last."""
-        out = np.full((len(states), width), -1, dtype=np.int64)
-        active, upto = np.arange(len(states)), self.upto[: self.n_arcs]
-        step = 0
+    def sample(self, states: np.ndarray, key: np.ndarray, number: int, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(units, steps) arcs of a segmentation of each unit, -1 after the last, and its log-probability."""
+        columns, active, at = [], np.arange(len(states)), states
+        total = np.zeros(len(states))
         while len(active):
-            u = _uniform(key[active], number, unit[active], step)
-            arc = np.searchsorted(upto, np.minimum(states[active] + u, np.nextafter(states[active] + 1.0, 0)), side="right")
-            out[active, step] = arc
-            states = states.copy() if step == 0 else states
-            states[active] = self.next[arc]
-            active = active[self.next[arc] >= 0]
-            step += 1
-        return out
+            u = _uniform(key[active], number, unit[active], len(columns)).astype(np.float32)
+            arc = self.first[at]
+            far = np.flatnonzero(self.upto[arc] <= u)
+            while len(far):
+                arc[far] += 1
+                far = far[self.upto[arc[far]] <= u[far]]
+            column = np.full(len(states), -1, dtype=np.int32)
+            column[active] = arc
+            columns.append(column)
+            total[active] += self.logp[arc]
+            at = self.next[arc]
+            on = at >= 0
+            active, at = active[on], at[on]
+        return np.stack(columns, axis=1) if columns else np.full((len(states), 1), -1, dtype=np.int32), total
 
     def remaining(self, state: int, node: dict | None) -> float:
         """Probability, from a state on, of all paths but those in a trie of excluded ones ({} ends a path).
@@ -337,8 +361,27 @@ class Vocabulary:
         return out.astype(np.int32), stop[ends]
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "surrogatepass")
-        return text[1:] if text[:1] == " " else text
+        out, _ = self.decode_all(np.asarray(ids, dtype=np.int64), np.array([len(ids)]))
+        return out.tobytes().decode("utf-8", "surrogatepass")
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """UTF-8 of the texts whose ids end at ``ends``, one after the other, and where each text ends in it.
+
+        The space that encoding puts in front goes.
+        """
+        size = self.byte_size[ids]
+        stop = np.concatenate([[0], np.cumsum(size)])
+        source = np.repeat(self.byte_start[ids] - stop[:-1], size) + np.arange(int(stop[-1]))
+        raw = self.byte_pool[source]
+        text_ends = stop[ends]
+        starts = np.concatenate([[0], text_ends[:-1]]).astype(np.int64)
+        full = np.flatnonzero(text_ends > starts)
+        spaces = full[raw[starts[full]] == 32]
+        keep = np.ones(len(raw), dtype=bool)
+        keep[starts[spaces]] = False
+        gone = np.zeros(len(ends), dtype=np.int64)
+        gone[spaces] = 1
+        return raw[keep], text_ends - np.cumsum(gone)
 
 
 @lru_cache(maxsize=4)
@@ -362,8 +405,12 @@ def _truncated(mu: np.ndarray, bound: float | np.ndarray, u: np.ndarray) -> np.n
 class _Paths:
     """One segmentation of every unit of some texts."""
 
-    def __init__(self, arcs: np.ndarray, long: dict[int, np.ndarray], logp: np.ndarray):
-        self.arcs, self.long, self.logp = arcs, long, logp
+    def __init__(self, arcs: np.ndarray, logp: np.ndarray, long: dict[int, np.ndarray] | None = None):
+        self.arcs, self.logp, self.long = arcs, logp, long or {}
+
+    def widen(self, width: int) -> None:
+        if width > self.arcs.shape[1]:
+            self.arcs = np.pad(self.arcs, ((0, 0), (0, width - self.arcs.shape[1])), constant_values=-1)
 
     def of(self, u: int) -> np.ndarray:
         got = self.long.get(u)
@@ -406,17 +453,18 @@ def top_k(vocab: Vocabulary, texts: list[str | None], keys: np.ndarray, k: int =
     place = np.arange(len(flat)) - starts[owner]
     short = np.flatnonzero(size <= SHORT)
     long = np.flatnonzero(size > SHORT).tolist()
-    width = int(size[short].max()) if len(short) else 1
 
     def draw(number: int) -> _Paths:
-        arcs = np.full((len(flat), width), -1, dtype=np.int64)
-        arcs[short] = vocab.sample(state[short], key[short], number, place[short], width)
-        logp = np.where(arcs >= 0, vocab.logp[arcs], 0.0).sum(axis=1)
+        if not long:
+            return _Paths(*vocab.sample(state, key, number, place))
+        some, weight = vocab.sample(state[short], key[short], number, place[short])
+        arcs, logp = np.full((len(flat), some.shape[1]), -1, dtype=np.int32), np.zeros(len(flat))
+        arcs[short], logp[short] = some, weight
         kept = {}
         for u in long:
             kept[u] = np.array(vocab.sample_one(int(state[u]), None, _Random(int(key[u]), number, int(place[u]))), dtype=np.int64)
             logp[u] = vocab.logp[kept[u]].sum()
-        return _Paths(arcs, kept, logp)
+        return _Paths(arcs, logp, kept)
 
     def trie(paths: list[list[int]]) -> dict:
         root: dict = {}
@@ -441,13 +489,17 @@ def top_k(vocab: Vocabulary, texts: list[str | None], keys: np.ndarray, k: int =
                 continue
             _, _, j, excluded, parent = item
             low = int(starts[d])
-            paths.arcs[low:j], paths.logp[low:j] = made[parent].arcs[low:j], made[parent].logp[low:j]
+            width = made[parent].arcs.shape[1]
+            paths.widen(width)
+            paths.arcs[low:j] = -1
+            paths.arcs[low:j, :width], paths.logp[low:j] = made[parent].arcs[low:j], made[parent].logp[low:j]
             for u in [u for u in paths.long if low <= u < j]:
                 paths.long[u] = made[parent].long[u]
             row = vocab.sample_one(int(state[j]), trie(excluded), _Random(int(keys[d]), number, j - low))
             if j in paths.long:
                 paths.long[j] = np.array(row, dtype=np.int64)
             else:
+                paths.widen(len(row))
                 paths.arcs[j] = -1
                 paths.arcs[j, : len(row)] = row
             paths.logp[j] = sum(vocab.logp[a] for a in row)
@@ -512,14 +564,16 @@ def _groups(texts: list[str | None]) -> Iterator[slice]:
 OUT = {"rank": "int", "ids": "array<int>", "log_prob": "double", "perturbed": "double", "inclusion": "double"}
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, alpha: float = ALPHA, seed: int = SEED, tokenizer: str = TOKENIZER, keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, alpha: float = ALPHA, seed: int = SEED, tokenizer: str = TOKENIZER, keep: list[str] | None = None, verify: bool = False) -> DataFrame:
     """A row for each of up to k distinct segmentations of each document: the columns ``keep`` (all but the text, if
-    not given) and rank, ids, log_prob, perturbed, inclusion. Columns of docs with these names give way."""
-    kept = [c for c in (docs.columns if keep is None else keep) if c != text_col and c.lower() not in OUT]
+    not given) and rank, ids, log_prob, perturbed, inclusion; with ``verify`` also round_trip: whether the ids decode
+    to exactly the text. Columns of docs with these names give way."""
+    made = OUT | ({"round_trip": "boolean"} if verify else {})
+    kept = [c for c in (docs.columns if keep is None else keep) if c != text_col and c.lower() not in made]
     key, text = unique_name("row_key", kept), unique_name("text", kept)
     narrow = docs.select(*[F.col(f"`{c}`") for c in kept], text_of(text_col).alias(text), F.xxhash64(F.lit(seed), F.col(id_col)).alias(key))
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), *(f"{c} {t}" for c, t in OUT.items())])
-    n, names = len(kept), [*kept, *OUT]
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), *(f"{c} {t}" for c, t in made.items())])
+    n, names = len(kept), [*kept, *made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(tokenizer, alpha)
@@ -531,13 +585,18 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
                 rows = np.repeat(np.arange(part.start, part.stop), [len(g) for g in got])
                 flat = [x for g in got for x in g]
                 columns = [c.take(pa.array(rows)) for c in batch.columns[:n]]
-                offsets = np.concatenate([[0], np.cumsum([len(x[0]) for x in flat])]).astype(np.int32)
+                ends = np.cumsum([len(x[0]) for x in flat])
                 values = np.concatenate([np.zeros(0, dtype=np.int32), *[x[0] for x in flat]])
                 columns += [
                     pa.array([r for g in got for r in range(len(g))], pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32())),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values, pa.int32())),
                     *(pa.array([x[i] for x in flat], pa.float64()) for i in (1, 2, 3)),
                 ]
+                if verify:
+                    raw, stops = vocab.decode_all(values, ends)
+                    raw = raw.tobytes()
+                    starts = [0, *stops[:-1].tolist()]
+                    columns.append(pa.array([raw[a:b] == texts[i].encode("utf-8", "surrogatepass") for a, b, i in zip(starts, stops.tolist(), rows.tolist(), strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return narrow.mapInArrow(run, schema)
@@ -548,12 +607,17 @@ def decode(coded: DataFrame, ids_col: str = "ids", out: str = "text", tokenizer:
     kept = [c for c in coded.columns if c.lower() != out.lower() and not (drop_ids and c == ids_col)]
     narrow = coded.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias(unique_name("ids_in", kept)))
     schema = ", ".join([*(f"`{c}` {coded.schema[c].dataType.simpleString()}" for c in kept), f"`{out}` string"])
-    n, names = len(kept), [*kept, out]
+    n, names, rows = len(kept), [*kept, out], 256
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(tokenizer)
         for batch in batches:
-            texts = [vocab.decode(ids.as_py()) for ids in batch.column(n)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string())], names=names)
+            for s in range(0, batch.num_rows, rows):
+                part = batch.slice(s, rows)
+                ids = part.column(n)
+                raw, ends = vocab.decode_all(ids.flatten().to_numpy(zero_copy_only=False), np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)))
+                offsets = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32).tobytes())
+                texts = pa.StringArray.from_buffers(part.num_rows, offsets, pa.py_buffer(raw.tobytes()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], texts], names=names)
 
     return narrow.mapInArrow(run, schema)

@@ -47,10 +47,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sampled segmentations a document, decoded again and compared with the text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("before"))
-    coded = pieces.encode(docs).select("doc_id", "before", "rank", F.size("ids").alias("n_pieces"), "log_prob", "perturbed", "inclusion", F.crc32(F.to_json("ids").cast("binary")).alias("ids_crc32"), "ids")
-    done = pieces.decode(coded, drop_ids=True)
-    return done.select("doc_id", "rank", "n_pieces", "ids_crc32", "log_prob", "perturbed", "inclusion", (F.sha2("text", 256) == F.col("before")).alias("round_trip"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.encode(docs, verify=True)
+    return coded.select("doc_id", "rank", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "perturbed", "inclusion", "round_trip")
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
