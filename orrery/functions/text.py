@@ -187,10 +187,10 @@ def class_name(c: Column) -> Column:
 
 def human_bytes(c: Column) -> Column:
     """X23."""
-    out = F.when(c < 1024, F.concat(F.format_number(c.cast("double"), "0.0"), F.lit(" B")))
+    out = F.when(c < 1024, F.concat(F.format_number(c.cast("double"), 1), F.lit(" B")))
     for i, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
         below = F.lit(True) if unit == "TB" else c < 1024 ** (i + 1)
-        out = out.when(below, F.concat(F.format_number(c / 1024**i, "0.0"), F.lit(f" {unit}")))
+        out = out.when(below, F.concat(F.format_number(c / 1024**i, 1), F.lit(f" {unit}")))
     return out
 
 

@@ -35,7 +35,7 @@ def fenced_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     code = F.col("n") % 2 == 1
     body = F.when(code, F.regexp_replace("part", r"^[^\n]*\n?", "")).otherwise(F.col("part"))
     language = F.when(code, F.trim(F.regexp_extract("part", r"^([^\n]*)", 1)))
-    out = parts.select(id_col, "n", F.when(code, "code").otherwise("text").alias("kind"), language.alias("language"), F.trim(body).alias("body"))
+    out = parts.select(id_col, "n", F.when(code, "code").otherwise("text").alias("kind"), language.alias("language"), F.btrim(body, F.lit(" \t\r\n")).alias("body"))
     return out.where("body <> ''")
 
 
