@@ -100,7 +100,7 @@ def concepts(c: Column) -> Column:
     """Back-ticked, bold, CamelCase, headings and 'Term (' of 3 to 99 characters, sorted."""
     patterns = [r"`([^`\n]+)`", r"\*\*([^*\n]+)\*\*", r"\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b", r"(?m)^#{1,6}\s+(.+)$", r"\b([A-Z][A-Za-z]+) \("]
     found = F.concat(*[F.regexp_extract_all(c, F.lit(p), 1) for p in patterns])
-    clean = F.filter(F.transform(found, F.trim), lambda x: (F.length(x) > 2) & (F.length(x) < 100))
+    clean = F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: (F.length(x) > 2) & (F.length(x) < 100))
     return F.sort_array(F.array_distinct(clean))
 
 
@@ -142,7 +142,7 @@ def sql_smells(c: Column) -> Column:
 
 def red_lines(c: Column, words: str = "must|never|禁止|必须", most: int = 8) -> Column:
     """Sentences of six characters and more that hold one of some words, at most ``most``."""
-    return F.slice(F.filter(F.transform(F.split(c, "[。；.;\n]"), F.trim), lambda s: (F.length(s) >= 6) & F.lower(s).rlike(words)), 1, most)
+    return F.slice(F.filter(F.transform(F.split(c, "[。；.;\n]"), lambda x: F.trim(x)), lambda s: (F.length(s) >= 6) & F.lower(s).rlike(words)), 1, most)
 
 
 def intent_scores(c: Column, keywords: dict[str, list[str]]) -> Column:

@@ -55,7 +55,7 @@ def xml_snippets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     blocks = F.regexp_extract_all(text_col, F.lit(r"(?s)<(?:snippet|example|sample)\b[^>]*>(.*?)</(?:snippet|example|sample)>"), 1)
     out = docs.select(id_col, F.posexplode(blocks).alias("n", "b"))
     part = lambda tag: F.nullif(F.trim(F.regexp_extract("b", f"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1)), F.lit(""))
-    tags = F.filter(F.transform(F.split(part("tags"), ","), F.trim), lambda t: t != "")
+    tags = F.filter(F.transform(F.split(part("tags"), ","), lambda x: F.trim(x)), lambda t: t != "")
     return out.select(id_col, "n", part("code").alias("code"), part("annotation").alias("annotation"), F.coalesce(tags, F.array().cast("array<string>")).alias("tags"))
 
 
