@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from orrery.llm.components import connected_components
 from orrery.session import cut
 
-THRESHOLD, TABLES, HASHES, SEED, BLOCK = 0.93, 6, 2, 77, 512
+THRESHOLD, TABLES, HASHES, SEED, BLOCK = 0.93, 6, 2, 77, 256
 #: Rows hashed at once.
 CHUNK = 2048
 

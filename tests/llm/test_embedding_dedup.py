@@ -52,7 +52,7 @@ def rows(n=160, dim=16):
     return out
 
 
-@pytest.mark.parametrize("block", [512, 8])
+@pytest.mark.parametrize("block", [256, 8])
 def test_same_as_brute_force(spark, block):
     data = rows()
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").repartition(3)
