@@ -32,7 +32,7 @@ from orrery.session import cut
 FOLDS, SAMPLE, THRESHOLD, SEED = 5, 20_000, 0.3, 5
 WORD_BUCKETS, SHAPE_BUCKETS, WIDTH, NONZERO, HIDDEN = 3072, 1024, 64, 8, 32
 BUCKETS, SAME, CACHED = WORD_BUCKETS + SHAPE_BUCKETS, WORD_BUCKETS + SHAPE_BUCKETS - 1, 400_000
-#: Tasks that gather word contexts from the sample; each sends one table of BUCKETS x WIDTH floats.
+#: Tasks that gather word contexts from the sample; each sends one table of BUCKETS x WIDTH whole numbers (1 MB).
 GATHER = 8
 #: Words pooled at once.
 CHUNK = 1 << 16
@@ -64,11 +64,12 @@ class Buckets(dict):
 
 
 def index_vectors(seed: int = SEED) -> np.ndarray:
+    """Sparse ternary vectors, NONZERO entries of 1 or -1 each."""
     rng = np.random.default_rng(seed)
-    out = np.zeros((BUCKETS, WIDTH), dtype=np.float32)
+    out = np.zeros((BUCKETS, WIDTH), dtype=np.int8)
     for row in out:
-        row[rng.choice(WIDTH, NONZERO, replace=False)] = rng.choice([-1.0, 1.0], NONZERO)
-    return out / np.float32(np.sqrt(NONZERO))
+        row[rng.choice(WIDTH, NONZERO, replace=False)] = rng.choice([-1, 1], NONZERO)
+    return out
 
 
 def _codes(text: str | None, buckets: Buckets) -> tuple[np.ndarray, np.ndarray]:
@@ -80,17 +81,24 @@ def _codes(text: str | None, buckets: Buckets) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contexts(texts: Iterator[str | None], index: np.ndarray) -> np.ndarray:
-    """For each bucket, the sum of the index vectors (of word and shape) of the words beside it."""
-    out, buckets = np.zeros((BUCKETS, WIDTH), dtype=np.float64), Buckets()
+    """For each bucket, the sum of the index vectors (of word and shape) of the words beside it, in whole numbers.
+
+    Neighbours are counted by pairs of buckets first (a square table), so a pair's vector is added once, not each time.
+    """
+    beside, buckets = np.zeros(BUCKETS * BUCKETS, dtype=np.int32), Buckets()
     for text in texts:
         word, kind = _codes(text, buckets)
-        for start in range(0, len(word), CHUNK):
-            w, k = word[start : start + CHUNK + 1], kind[start : start + CHUNK + 1]
-            own = index[w] + index[k]
-            for codes in (w, k):
-                np.add.at(out, codes[1:], own[:-1])
-                np.add.at(out, codes[:-1], own[1:])
-    return out
+        for start in range(0, len(word) - 1, CHUNK):
+            both = [x[start : start + CHUNK + 1] for x in (word, kind)]
+            pairs = np.concatenate([a[:-1] * BUCKETS + b[1:] for a in both for b in both])
+            found, count = np.unique(pairs, return_counts=True)
+            beside[found] += count.astype(np.int32)
+    beside = beside.reshape(BUCKETS, BUCKETS)
+    out, wide = np.zeros((BUCKETS, WIDTH)), index.astype(np.float64)
+    for start in range(0, BUCKETS, 512):
+        rows = slice(start, start + 512)
+        out[rows] = beside[rows] @ wide + beside[:, rows].T @ wide
+    return out.astype(np.int32)
 
 
 def pooled(texts: list[str | None], vectors: np.ndarray, buckets: Buckets) -> np.ndarray:
@@ -192,16 +200,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = (t.as_py() for b in batches for t in b.column(0))
-        yield pa.RecordBatch.from_arrays([pa.array([contexts(texts, index).astype(np.float32).tobytes()], pa.binary())], names=["table"])
+        yield pa.RecordBatch.from_arrays([pa.array([contexts(texts, index).tobytes()], pa.binary())], names=["table"])
 
     context = np.zeros((BUCKETS, WIDTH))
-    spread = rows.select("id", "text").repartition(GATHER, "id").select("text")
-    for part in spread.mapInArrow(gather, "table binary").collect():
-        context += np.frombuffer(part["table"], dtype=np.float32).reshape(BUCKETS, WIDTH)
+    # Sums of whole numbers: the same however the sample is dealt out.
+    for part in rows.select("text").coalesce(GATHER).mapInArrow(gather, "table binary").collect():
+        context += np.frombuffer(part["table"], dtype=np.int32).reshape(BUCKETS, WIDTH)
     # A common sum that all words share says nothing about any of them.
     context -= context.sum(axis=0) / max(1.0, np.abs(context).sum()) * np.abs(context).sum(axis=1, keepdims=True)
     length = np.linalg.norm(context, axis=1, keepdims=True)
-    vectors = (index + np.where(length > 0, context / np.maximum(length, 1e-9), 0)).astype(np.float32)
+    vectors = (index / np.sqrt(NONZERO) + np.where(length > 0, context / np.maximum(length, 1e-9), 0)).astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
