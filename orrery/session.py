@@ -35,7 +35,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     shared = sc.getConf().get(CHECKPOINT_DIR) or spark.conf.get(CHECKPOINT_DIR, None)
     if shared:
         sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local["):
+    elif sc.master == "local" or sc.master.startswith("local["):
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "orrery-checkpoints"))
     else:
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
