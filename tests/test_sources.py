@@ -270,3 +270,41 @@ def test_writers(spark, tmp_path):
     assert writers.gexf(nodes, edges).count() == 6
     made = writers.compiled_artifacts(spark.createDataFrame([("r1", "Metric"), ("r2", "Rule")], "resource_id string, kind string"), {"owl": ["Metric"], "all": ["Metric", "Rule"]})
     assert made.count() == 3
+
+
+def test_routing_and_cypher(spark):
+    from orrery.operators import governance, routing
+    from orrery.plans import cypher
+
+    nodes = spark.createDataFrame([("1", "A x", ["T"]), ("2", "B", ["U"]), ("3", "A y", ["T", "U"])], "id string, name string, labels array<string>")
+    edges = spark.createDataFrame([("1", "2", "r"), ("2", "3", "s"), ("3", "1", "r")], "src string, dst string, relation string")
+    run = lambda q: [tuple(r) for r in cypher.run(q, nodes, edges).collect()]
+    assert run("MATCH (a:T)-[e:r]->(b) WHERE a.name STARTS WITH 'A' AND NOT a.id IN ['3'] RETURN a.name, b.id") == [("A x", "2")]
+    assert run("MATCH (a)-[e]-(b) WHERE a.id = '1' RETURN b.id ORDER BY b.id DESC SKIP 1 LIMIT 1") == [("2",)]
+    assert sorted(run("MATCH (a)-[e]->(b) RETURN e.relation, count(*)")) == [("r", 2), ("s", 1)]
+    for bad in ("MATCH (a) DELETE a", "MATCH (a)-[e]->(b) WHERE a.id RETURN a.id", "MATCH a RETURN a"):
+        with pytest.raises((ValueError, IndexError)):
+            run(bad)
+    with pytest.raises(ValueError):
+        cypher.template("neighbours", {"id": "'1' OR 1=1"}, nodes, edges)
+    a = spark.createDataFrame([("k1", "h", 1), ("k2", "h", 5)], "key string, hash string, updated_at int")
+    b = spark.createDataFrame([("k2", "g", 9), ("k3", "h", 1)], "key string, hash string, updated_at int")
+    assert {tuple(r) for r in routing.sync_plan(a, b, "merge").collect()} == {("k1", "upload"), ("k2", "download"), ("k3", "download")}
+    assert routing.sync_plan(a, b, "manual").where("action = 'conflict'").count() == 1
+    cache = routing.Cached(1)
+    assert cache.get("x", lambda: spark.range(3)).count() == 3 and cache.get("y", lambda: spark.range(2)).count() == 2 and list(cache.held) == ["y"]
+    df = spark.createDataFrame([(1, "# One\ntext?\n## Two\nIs this a question? yes")], "id int, t string")
+    assert [tuple(r)[2:] for r in governance.sections(df, "id", "t").orderBy("n").collect()] == [("One", "text?"), ("Two", "Is this a question? yes")]
+    assert governance.questions(df, "id", "t").first()["questions"] == ["Is this a question?"]
+    cases = governance.regression_cases(spark.createDataFrame([(1, "-- how many\nselect count(*) from a.b")], "id int, t string"), "id", "t").first()
+    assert cases.hint == "how many" and cases.must_contain == ["a.b"]
+    req = spark.createDataFrame([("q1", "x", "u", "p", 3), ("q2", "x", "u", "p", 9), ("q3", "z", "u", "p", 1)], "request_id string, action string, role string, purpose string, impacted int")
+    pol = spark.createDataFrame([("x", ["u"], ["p"], 5)], "action string, roles array<string>, purposes array<string>, max_impacted int")
+    assert {tuple(r) for r in governance.action_allowed(req, pol).collect()} == {("q1", True), ("q2", False), ("q3", False)}
+    d = readers.normalise_result(spark.createDataFrame([('{"node":{"id":"7","title":"t"},"content":"c"}',)], "raw string"), "raw").first()
+    assert tuple(d) == ("7", "t", "unknown", "c")
+    acl = temporal.acl(
+        spark.createDataFrame([("r1", "o", "ann", "bob"), ("r2", "o", "cyd", "bob"), ("r3", "p", "bob", "bob")], "request_id string, object_id string, user_id string, owner string"),
+        spark.createDataFrame([("o", "ann", 2, False), ("o", "ann", 1, True), ("o", "*", 3, False)], "object_id string, subject string, position int, allow boolean"),
+    )
+    assert {tuple(r) for r in acl.collect()} == {("r1", True), ("r2", False), ("r3", True)}
