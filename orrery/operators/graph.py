@@ -47,25 +47,31 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         before = now
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, k: int | None = None) -> DataFrame:
-    """Power iteration; dangling mass is spread over all nodes; stops at an L1 change below n * tolerance."""
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, k: int | None = None, block: int = 5) -> DataFrame:
+    """PageRank with dangling mass spread over all nodes; stops at an L1 change below n * tolerance in a round.
+
+    The solution is y = damping * A y + 1, brought to sum 1: spreading the dangling mass only scales the constant. So
+    a round is one join and one grouped sum, without a global sum, and ``block`` rounds make one plan.
+    """
     n = nodes.count()
     if n == 0:
         return nodes.select("id", F.lit(0.0).alias("rank"))
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("w"))
-    links = cut(edges.join(out, "src").select("src", "dst", (1.0 / F.col("w")).alias("share")))
-    ranks = cut(nodes.select("id").join(out.withColumnRenamed("src", "id"), "id", "left").select("id", F.lit(1.0 / n).alias("rank"), F.col("w").isNull().alias("dangling")))
-    for _ in range(rounds):
-        lost = ranks.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        got = links.join(ranks, links["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        base = (1 - damping) / n + damping * lost / n
-        new = ranks.join(got, ranks["id"] == got["dst"], "left").select("id", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), "dangling", F.col("rank").alias("old"))
-        new = cut(new)
-        moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        ranks = new.drop("old")
+    links = cut(edges.join(out, "src").select("src", "dst", (damping / F.col("w")).alias("share")))
+    ids = cut(nodes.select("id"))
+    state = ids.withColumn("y", F.lit(1.0))
+    for done in range(0, rounds, block):
+        for _ in range(min(block, rounds - done)):
+            ranks = state.select(F.col("id").alias("src"), F.col("y").alias("from"))
+            got = links.join(ranks, "src").groupBy("dst").agg(F.sum(F.col("from") * F.col("share")).alias("got"))
+            state = state.select("id", F.col("y").alias("old")).join(got.withColumnRenamed("dst", "id"), "id", "left").select("id", (1 + F.coalesce("got", F.lit(0.0))).alias("y"), "old")
+        state = cut(state)
+        s = state.agg(F.sum("y").alias("y"), F.sum("old").alias("old")).first()
+        moved = state.agg(F.sum(F.abs(F.col("y") / s["y"] - F.col("old") / s["old"]))).first()[0]
         if moved < n * tolerance:
             break
-    out = ranks.select("id", "rank").orderBy(F.desc("rank"), "id")
+        state = state.drop("old")
+    out = state.select("id", (F.col("y") / s["y"]).alias("rank")).orderBy(F.desc("rank"), "id")
     return out if k is None else out.limit(k)
 
 
