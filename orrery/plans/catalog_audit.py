@@ -100,9 +100,9 @@ def f15(spark, sf_dir):
     return audit.expired(events(spark, sf_dir), {"click": 7, "view": 14, "error": 28}, dt.datetime(2024, 2, 1), "action").select("event_id", "expired_by")
 
 
-@add("w6_csv_guard", "SELECT doc_id, CASE WHEN regexp_matches(ltrim(substr(text, 1, 60)), '^[=+\\-@\\t\\r]') THEN '''' ELSE '' END || substr(text, 1, 60) AS cell FROM documents")
+@add("w6_csv_guard", "SELECT doc_id, sha256(CASE WHEN regexp_matches(ltrim(text), '^[=+\\-@\\t\\r]') THEN '''' ELSE '' END || text) AS cell FROM documents")
 def w6(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", audit.csv_guard(F.substring("text", 1, 60)).alias("cell"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(audit.csv_guard(F.col("text")), 256).alias("cell"))
 
 
 @add("n12_bounded_history", f"SELECT user_id, event_id FROM {SQL} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) <= 20")

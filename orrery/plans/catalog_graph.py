@@ -8,10 +8,10 @@ from orrery.operators import datalog, graph
 from orrery.plans.catalog import add
 from orrery.session import table
 
-#: Customer-supplier edges of a key range make a graph that the reference's path operators take.
+#: Who bought from whom; and nations whose trade is above a tenth over the mean, a graph sparse enough for paths.
 EDGE = "(SELECT DISTINCT o_custkey AS src, 1000000 + l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
-SMALL = "(SELECT DISTINCT o_custkey AS src, 1000000 + l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey <= 2000)"
-NATION = "(SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE o_orderkey <= 300)"
+TRADE = """(SELECT src, dst FROM (SELECT s_nationkey AS src, c_nationkey AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+    JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL) QUALIFY n > 1.1 * avg(n) OVER ())"""
 
 
 def edges(spark, sf_dir):
@@ -19,15 +19,13 @@ def edges(spark, sf_dir):
     return t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("src"), (F.lit(1000000) + F.col("l_suppkey")).alias("dst")).distinct()
 
 
-def small(spark, sf_dir):
-    t = lambda n: table(spark, sf_dir, n)
-    return t("orders").where("o_orderkey <= 2000").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("src"), (F.lit(1000000) + F.col("l_suppkey")).alias("dst")).distinct()
-
-
 def nations(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)
-    j = t("orders").where("o_orderkey <= 300").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return j.select(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).distinct()
+    # Lines by order's customer and supplier first, so that the small tables meet far fewer rows.
+    j = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    j = j.join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    pairs = j.groupBy(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).agg(F.sum("n").alias("n"))
+    return pairs.join(F.broadcast(pairs.agg((1.1 * F.avg("n")).alias("least")))).where("n > least").select("src", "dst")
 
 
 def nodes_of(e):
@@ -45,9 +43,9 @@ def g2(spark, sf_dir):
     return graph.statistics(nodes_of(e), e)
 
 
-@add("g5_components", "WITH RECURSIVE e AS (SELECT o_orderkey AS src, o_custkey + 10000000 AS dst FROM orders WHERE o_orderkey % 7 = 0), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT src AS root, src AS id FROM u UNION SELECT r.root, u.dst FROM r JOIN u ON r.id = u.src) SELECT id, min(root) AS component FROM r GROUP BY 1")
+@add("g5_components", "WITH RECURSIVE e AS (SELECT o_orderkey AS src, o_custkey + 10000000 AS dst FROM orders), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT src AS root, src AS id FROM u UNION SELECT r.root, u.dst FROM r JOIN u ON r.id = u.src) SELECT id, min(root) AS component FROM r GROUP BY 1")
 def g5(spark, sf_dir):
-    e = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("src"), (F.col("o_custkey") + 10000000).alias("dst"))
+    e = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), (F.col("o_custkey") + 10000000).alias("dst"))
     return graph.weak_components(nodes_of(e), e)
 
 
@@ -63,7 +61,7 @@ def g4(spark, sf_dir):
     return graph.degree_centrality(nodes_of(e), e)
 
 
-@add("g4_closeness", f"""WITH RECURSIVE e AS {NATION}, n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), r AS (SELECT id AS root, id, 0 AS d FROM n UNION SELECT root, e.src, d + 1 FROM r JOIN e ON e.dst = r.id WHERE d < 8),
+@add("g4_closeness", f"""WITH RECURSIVE e AS {TRADE}, n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), r AS (SELECT id AS root, id, 0 AS d FROM n UNION SELECT root, e.src, d + 1 FROM r JOIN e ON e.dst = r.id WHERE d < 8),
     b AS (SELECT root, id, min(d) AS d FROM r GROUP BY ALL), s AS (SELECT root, sum(d) AS s, count(*) - 1 AS r FROM b GROUP BY 1) SELECT root AS id, CASE WHEN s > 0 THEN r / s * r / ((SELECT count(*) FROM n) - 1) ELSE 0 END AS closeness FROM s""")
 def g4c(spark, sf_dir):
     e = nations(spark, sf_dir)
@@ -82,19 +80,18 @@ def g4e(spark, sf_dir):
     return graph.eigenvector(nodes_of(e), e, rounds=60).withColumn("eigenvector", F.round("eigenvector", 4))
 
 
-@add("g9_closure", f"WITH RECURSIVE e AS {NATION}, c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src) SELECT src, dst FROM c")
+@add("g9_closure", f"WITH RECURSIVE e AS {TRADE}, c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src) SELECT src, dst FROM c")
 def g9(spark, sf_dir):
     return graph.closure(nations(spark, sf_dir)).select("src", "dst")
 
 
-@add("g10_reach", f"WITH RECURSIVE e AS {NATION}, r AS (SELECT 0 AS root, dst AS id, 1 AS depth FROM e WHERE src = 0 UNION SELECT root, e.dst, depth + 1 FROM r JOIN e ON e.src = r.id WHERE depth < 2) SELECT 0 AS root, id, min(depth) AS depth FROM r WHERE id <> 0 GROUP BY 2")
+@add("g10_reach", f"WITH RECURSIVE e AS {TRADE}, r AS (SELECT src AS root, dst AS id, 1 AS depth FROM e UNION SELECT root, e.dst, depth + 1 FROM r JOIN e ON e.src = r.id WHERE depth < 2) SELECT root, id, min(depth) AS depth FROM r WHERE id <> root GROUP BY ALL")
 def g10(spark, sf_dir):
     e = nations(spark, sf_dir)
-    seed = spark.range(1).select(F.lit(0).alias("id"))
-    return graph.reach(e, seed, 2)
+    return graph.reach(e, nodes_of(e), 2)
 
 
-@add("g18_cycles", f"WITH RECURSIVE e AS {NATION}, c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src) SELECT src AS id FROM c WHERE src = dst")
+@add("g18_cycles", f"WITH RECURSIVE e AS {TRADE}, c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src) SELECT src AS id FROM c WHERE src = dst")
 def g18(spark, sf_dir):
     return graph.cycles(nations(spark, sf_dir))
 
@@ -106,32 +103,34 @@ def g6(spark, sf_dir):
     return graph.shortest_path(e, ends["a"], ends["b"])
 
 
-@add("g7_all_paths", f"WITH RECURSIVE e AS {NATION}, p AS (SELECT [src, dst] AS path FROM e WHERE src = 1 UNION ALL SELECT list_append(path, dst) FROM p JOIN e ON path[-1] = src WHERE path[-1] <> 2 AND NOT list_contains(path, dst) AND len(path) < 3) SELECT DISTINCT path FROM p WHERE path[-1] = 2")
+@add("g7_all_paths", f"WITH RECURSIVE e AS {TRADE}, p AS (SELECT [src, dst] AS path FROM e WHERE src = (SELECT min(src) FROM e) UNION ALL SELECT list_append(path, dst) FROM p JOIN e ON path[-1] = src WHERE path[-1] <> (SELECT max(dst) FROM e) AND NOT list_contains(path, dst) AND len(path) < 4) SELECT DISTINCT path FROM p WHERE path[-1] = (SELECT max(dst) FROM e)")
 def g7(spark, sf_dir):
-    return graph.all_paths(nations(spark, sf_dir), 1, 2, 2)
+    e = nations(spark, sf_dir)
+    ends = e.agg(F.min("src").alias("a"), F.max("dst").alias("b")).first()
+    return graph.all_paths(e, ends["a"], ends["b"], 3)
 
 
 @add("g8_label_propagation")
 def g8(spark, sf_dir):
-    e = small(spark, sf_dir)
+    e = edges(spark, sf_dir)
     return graph.label_propagation(nodes_of(e), e, 5)
 
 
-@add("g8_modularity", f"WITH e AS {SMALL}, l AS (SELECT src, dst, src % 5 AS la, dst % 5 AS lb FROM e), k AS (SELECT lab, count(*) AS k FROM (SELECT la AS lab FROM l UNION ALL SELECT lb FROM l) GROUP BY 1), i AS (SELECT la AS lab, count(*) AS l FROM l WHERE la = lb GROUP BY 1) SELECT round(sum(coalesce(l, 0) / (SELECT count(*) FROM e) - (k / (2.0 * (SELECT count(*) FROM e))) ** 2), 9) AS modularity FROM k LEFT JOIN i USING (lab)")
+@add("g8_modularity", f"WITH e AS {EDGE}, l AS (SELECT src, dst, src % 5 AS la, dst % 5 AS lb FROM e), k AS (SELECT lab, count(*) AS k FROM (SELECT la AS lab FROM l UNION ALL SELECT lb FROM l) GROUP BY 1), i AS (SELECT la AS lab, count(*) AS l FROM l WHERE la = lb GROUP BY 1) SELECT round(sum(coalesce(l, 0) / (SELECT count(*) FROM e) - (k / (2.0 * (SELECT count(*) FROM e))) ** 2), 9) AS modularity FROM k LEFT JOIN i USING (lab)")
 def g8m(spark, sf_dir):
-    e = small(spark, sf_dir)
+    e = edges(spark, sf_dir)
     labels = nodes_of(e).select("id", (F.col("id") % 5).alias("label"))
     return graph.modularity(e, labels).select(F.round("modularity", 9).alias("modularity"))
 
 
-@add("g15_neighbourhood", f"WITH e AS {SMALL}, s AS (SELECT unnest([1000001, 1000002]) AS id), n AS (SELECT id FROM s UNION SELECT dst FROM e JOIN s ON src = id UNION SELECT src FROM e JOIN s ON dst = id) SELECT src, dst FROM e WHERE src IN (FROM n) AND dst IN (FROM n)")
+@add("g15_neighbourhood", f"WITH e AS {EDGE}, s AS (SELECT unnest([1000001, 1000002]) AS id), n AS (SELECT id FROM s UNION SELECT dst FROM e JOIN s ON src = id UNION SELECT src FROM e JOIN s ON dst = id) SELECT src, dst FROM e WHERE src IN (FROM n) AND dst IN (FROM n)")
 def g15(spark, sf_dir):
     seeds = spark.createDataFrame([(1000001,), (1000002,)], "id long")
-    e = small(spark, sf_dir)
+    e = edges(spark, sf_dir)
     return graph.induced(nodes_of(e), e, seeds)
 
 
-@add("j4_two_hops", f"WITH e AS {NATION} SELECT a.src, a.dst AS mid, b.dst FROM e a JOIN e b ON a.dst = b.src WHERE a.src <> b.dst")
+@add("j4_two_hops", f"WITH e AS {TRADE} SELECT a.src, a.dst AS mid, b.dst FROM e a JOIN e b ON a.dst = b.src WHERE a.src <> b.dst")
 def j4(spark, sf_dir):
     return graph.two_hops(nations(spark, sf_dir))
 
@@ -145,9 +144,9 @@ def j3(spark, sf_dir):
     return graph.triples(nodes, e)
 
 
-@add("j5_incident_edges", f"WITH e AS {SMALL} SELECT src, 'buys' AS relation, dst FROM e WHERE src = 1000003 OR dst = 1000003 ORDER BY src::VARCHAR, dst::VARCHAR LIMIT 100")
+@add("j5_incident_edges", f"WITH e AS {EDGE} SELECT src, 'buys' AS relation, dst FROM e WHERE src = 1000003 OR dst = 1000003 ORDER BY src::VARCHAR, dst::VARCHAR LIMIT 100")
 def j5(spark, sf_dir):
-    return graph.incident(small(spark, sf_dir).withColumn("relation", F.lit("buys")), 1000003)
+    return graph.incident(edges(spark, sf_dir).withColumn("relation", F.lit("buys")), 1000003)
 
 
 @add("a7_label_counts", "SELECT unnest([c_mktsegment, 'customer']) AS label, count(*) AS n FROM customer GROUP BY 1")
@@ -168,12 +167,12 @@ def _facts(spark, sf_dir):
     return {"sells": nations(spark, sf_dir).select(F.col("src").cast("string").alias("t0"), F.col("dst").cast("string").alias("t1")), "in_region": n}
 
 
-@add("d3_datalog_fixed_point", f"WITH RECURSIVE e AS {NATION}, c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src) SELECT src::VARCHAR AS t0, dst::VARCHAR AS t1 FROM c WHERE (src, dst) NOT IN (SELECT (src, dst) FROM e) AND dst IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
+@add("d3_datalog_fixed_point", f"WITH RECURSIVE e AS {TRADE}, c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src) SELECT src::VARCHAR AS t0, dst::VARCHAR AS t1 FROM c WHERE (src, dst) NOT IN (SELECT (src, dst) FROM e) AND dst IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
 def d3(spark, sf_dir):
     return datalog.infer(spark, RULES, _facts(spark, sf_dir))["quiet"]
 
 
-@add("d4_proofs", f"WITH RECURSIVE e AS {NATION}, c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src) SELECT src::VARCHAR AS t0, dst::VARCHAR AS t1, CASE WHEN (src, dst) IN (SELECT (src, dst) FROM e) THEN 'ruleset:rule-2' ELSE 'ruleset:rule-3' END AS rule_id FROM c")
+@add("d4_proofs", f"WITH RECURSIVE e AS {TRADE}, c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src) SELECT src::VARCHAR AS t0, dst::VARCHAR AS t1, CASE WHEN (src, dst) IN (SELECT (src, dst) FROM e) THEN 'ruleset:rule-2' ELSE 'ruleset:rule-3' END AS rule_id FROM c")
 def d4(spark, sf_dir):
     return datalog.infer(spark, RULES, _facts(spark, sf_dir), proofs=True)["reach"]
 

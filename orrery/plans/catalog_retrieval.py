@@ -77,16 +77,20 @@ def x6(spark, sf_dir):
 
 
 def _lists(spark, sf_dir):
-    d = docs(spark, sf_dir).where("doc_id < 400")
+    """Two ranked lists of 100 hits, the most that a hybrid search takes from a route."""
+    d = docs(spark, sf_dir)
     common = ["slug", "chunk_text", "type"]
     hits = d.select(F.col("source").alias("slug"), F.col("text").alias("chunk_text"), F.col("lang").alias("type"), "doc_id", "n_chars", (F.length("text") - F.length(F.replace("text", F.lit("e")))).alias("tf"))
-    one = hits.select(F.lit(1).alias("list"), (F.row_number().over(Window.orderBy(F.desc("tf"), "doc_id")) - 1).alias("rank"), *common)
-    two = hits.select(F.lit(2).alias("list"), (F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")) - 1).alias("rank"), *common)
-    return one.where("rank < 100").unionByName(two.where("rank < 100"))
 
+    def ranked(number, score):
+        best = hits.orderBy(F.desc(score), "doc_id").limit(100)
+        return best.select(F.lit(number).alias("list"), (F.row_number().over(Window.orderBy(F.desc(score), "doc_id")) - 1).alias("rank"), *common)
 
-LISTS = """l AS (SELECT 1 AS list, row_number() OVER (ORDER BY length(text) - length(replace(text, 'e', '')) DESC, doc_id) - 1 AS rank, source AS slug, text AS chunk_text, lang AS type FROM documents WHERE doc_id < 400
-    UNION ALL SELECT 2, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1, source, text, lang FROM documents WHERE doc_id < 400),
+    return ranked(1, "tf").unionByName(ranked(2, "n_chars"))
+
+
+LISTS = """l AS (SELECT 1 AS list, row_number() OVER (ORDER BY length(text) - length(replace(text, 'e', '')) DESC, doc_id) - 1 AS rank, source AS slug, text AS chunk_text, lang AS type FROM documents
+    UNION ALL SELECT 2, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1, source, text, lang FROM documents),
     f AS (SELECT slug || ':' || substr(chunk_text, 1, 50) AS key, sum(1.0::DOUBLE / (60 + rank)) AS score, arg_min(slug, list * 1000 + rank) AS slug, arg_min(chunk_text, list * 1000 + rank) AS chunk_text, arg_min(type, list * 1000 + rank) AS type FROM l WHERE rank < 100 GROUP BY 1)"""
 
 
@@ -138,10 +142,9 @@ def r2(spark, sf_dir):
     return R.weighted_search(docs(spark, sf_dir), ["src1", "en"], _fields(), "doc_id", 50)
 
 
-@add("r3_or_fallback", "SELECT doc_id, 0.6 * (CASE WHEN lower(source) LIKE '%src1' THEN 8 ELSE 0 END + CASE WHEN lower(text) LIKE '%src1%' THEN 1 ELSE 0 END) AS score, true AS partial FROM documents WHERE lower(source) LIKE '%src1' ORDER BY score DESC, doc_id LIMIT 30")
+@add("r3_or_fallback", "SELECT doc_id, 0.6::DOUBLE * (CASE WHEN lower(source) LIKE '%src1%' THEN 8 ELSE 0 END + CASE WHEN lower(lang) LIKE '%src1%' THEN 4 ELSE 0 END + CASE WHEN lower(text) LIKE '%src1%' THEN 1 ELSE 0 END) AS score, true AS partial FROM documents WHERE lower(source) LIKE '%src1%' OR lower(text) LIKE '%src1%' ORDER BY score DESC, doc_id LIMIT 30")
 def r3(spark, sf_dir):
-    d = docs(spark, sf_dir).where("source = 'src1' or source = 'src2'")
-    return R.or_fallback(d, ["src1", "zzqqxx"], _fields(), "doc_id", 30)
+    return R.or_fallback(docs(spark, sf_dir), ["src1", "zzqqxx"], _fields(), "doc_id", 30)
 
 
 @add("r5_contains", "SELECT doc_id FROM documents WHERE lower(text) LIKE '%license%' ORDER BY doc_id LIMIT 100")

@@ -197,8 +197,8 @@ def k4(spark, sf_dir):
     return M.implicit_usage(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), ["license"])
 
 
-@add("k10_sequence_gaps", "SELECT o_custkey, missing FROM (SELECT o_custkey, unnest(range(min(o_orderkey), max(o_orderkey))) AS missing FROM orders WHERE o_custkey < 50 GROUP BY 1) g WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = g.o_custkey AND o.o_orderkey = g.missing)")
+@add("k10_sequence_gaps", "SELECT l_orderkey, missing FROM (SELECT l_orderkey, unnest(range(min(l_linenumber), max(l_linenumber)))::INT AS missing FROM lineitem GROUP BY 1) g WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = g.l_orderkey AND l.l_linenumber = g.missing)")
 def k10(spark, sf_dir):
     from orrery.sources.documents import sequence_gaps
 
-    return sequence_gaps(table(spark, sf_dir, "orders").where("o_custkey < 50"), "o_custkey", "o_orderkey")
+    return sequence_gaps(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
