@@ -43,9 +43,10 @@ def x7(spark, sf_dir):
     return g.join(b, "item_id").select(F.col("item_id").alias("a"), "b", F.round(X.jaccard(F.col("g"), F.col("h")), 6).alias("j"))
 
 
-@add("x12_concepts", "SELECT page_id, len(list_distinct(regexp_extract_all(html, '\\b([A-Z][A-Za-z]+) \\(', 1))) >= 0 AS ok FROM pages")
+@add("x12_concepts", r"""SELECT page_id, len(list_distinct([trim(x) FOR x IN regexp_extract_all(html, '`([^`\n]+)`', 1) || regexp_extract_all(html, '\*\*([^*\n]+)\*\*', 1) || regexp_extract_all(html, '\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b', 1)
+    || regexp_extract_all(html, '(?m)^#{1,6}\s+(.+)$', 1) || regexp_extract_all(html, '\b([A-Z][A-Za-z]+) \(', 1) IF length(trim(x)) > 2 AND length(trim(x)) < 100])) AS n FROM pages""")
 def x12(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", (F.size(X.concepts(F.col("html"))) >= 0).alias("ok"))
+    return pages(spark, sf_dir).select("page_id", F.size(X.concepts(F.col("html"))).cast("long").alias("n"))
 
 
 @add("x15_sql_smells", "SELECT page_id, ['unbounded'] AS smells FROM pages WHERE NOT lower(url) LIKE '%where%' AND NOT lower(url) LIKE '%limit%' UNION ALL SELECT page_id, []::VARCHAR[] FROM pages WHERE lower(url) LIKE '%where%' OR lower(url) LIKE '%limit%'")

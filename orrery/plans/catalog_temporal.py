@@ -186,7 +186,7 @@ def m6(spark, sf_dir):
     return M.tool_samples(_nodes(spark, sf_dir)).select("id", F.col("tool_calls")[0].alias("call"))
 
 
-@add("m9_pipeline", "SELECT 'train' AS split, floor(1000 * 0.8)::BIGINT AS n UNION ALL SELECT 'val', 100 UNION ALL SELECT 'test', 100")
+@add("m9_pipeline", "WITH s AS (SELECT least(500, 2 * count(*)) + least(500, count(*)) AS n FROM customer), t AS (SELECT n, floor(n * 0.8)::BIGINT AS train, floor(n * 0.1)::BIGINT AS val FROM s) SELECT 'train' AS split, train AS n FROM t UNION ALL SELECT 'val', val FROM t UNION ALL SELECT 'test', n - train - val FROM t")
 def m9(spark, sf_dir):
     parts = {"entity": M.entity_qa(_nodes(spark, sf_dir), ["c_nationkey"]), "relation": M.relation_qa(_triples(spark, sf_dir))}
     return M.pipeline(parts, 1000).groupBy("split").agg(F.count(F.lit(1)).alias("n"))

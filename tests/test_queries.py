@@ -11,8 +11,6 @@ from orrery.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: These ask DuckDB for constants that only fit larger tables (sizes of samples, one component).
-LARGER = {"g2_statistics", "m9_pipeline"}
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +37,7 @@ def plain(v):
     return v
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.ORACLES) - LARGER))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_same_rows(spark, duck, name):
     df = catalog.QUERIES[name](spark, DIR)
     columns = sorted(df.columns)
