@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import ASCII_SPACE, TRACKED, ascii_lower, frequent, text_of, unique_name
+from orrery.llm.common import ASCII_SPACE, TRACKED, ascii_lower, text_of, unique_name
 from orrery.session import cut
 
 MIN_CHARS, MIN_DOCS = 40, 5
