@@ -6,7 +6,6 @@ Data stays in lazy DataFrames; what lives here is metadata-sized.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
