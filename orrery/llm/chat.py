@@ -11,6 +11,10 @@ Calls and results meet in one hash join on (conversation, call id); neither side
 repeats of an id are brought down map-side to the first by (turn, place, content) and counted. Nothing gathers a
 conversation, so one conversation may hold a third of all rows.
 
+With ``each``, nothing but equal repeats within a turn is brought down: the calls and the results of an id are numbered
+in the order of their turns, and the join is on (conversation, call id, number). Every other call and result stays one
+row; a reused id's k-th result belongs to its k-th call. A reused id in ``depends_on`` means its first call.
+
 Order: a call with ``depends_on`` must come after those calls. Where every such call stands earlier, the order by
 (turn, place) is topological already and layer is 0. Only calls of conversations where one does not are peeled in layers
 (a layer a round, cut to the shared folder). Sorted by (layer, turn, place), each conversation is in topological
@@ -98,6 +102,14 @@ def _first(rows: DataFrame, order: list[str], count: str) -> DataFrame:
     return one.join(rows.groupBy(*key).agg(F.count(F.lit(1)).alias(count)), key)
 
 
+def _each(rows: DataFrame, same: list[str], order: list[str], count: str) -> DataFrame:
+    """Every row of each (conv_id, call_id) that differs in ``same``, with the number of rows and its number by ``order``."""
+    key = ["conv_id", "call_id"]
+    rest = [c for c in rows.columns if c not in key + same]
+    one = rows.groupBy(*key, *same).agg(F.count(F.lit(1)).alias(count), *[F.min(c).alias(c) for c in rest])
+    return one.withColumn("number", F.row_number().over(Window.partitionBy(*key).orderBy(*[F.col(c).asc_nulls_last() for c in order])))
+
+
 def schema_errors(tool: Column, arguments: Column, schemas: dict) -> Column:
     """Sorted array of errors: unknown_tool, missing:x, type:x, unknown:x."""
     value = F.try_parse_json(arguments)
@@ -160,21 +172,28 @@ def link(
     turn_col: str = "turn",
     role_col: str = "role",
     text_col: str = "text",
+    each: bool = False,
 ) -> DataFrame:
-    """One row per call, unlinked result and context message: conv_id, turn, place, layer, status, call_id, tool,
+    """One row per call (with ``each``, also of those that reuse an id), unlinked result and context message: conv_id, turn, place, layer, status, call_id, tool,
     n_calls, n_results, valid, errors, record (canonical JSON)."""
     schemas = SCHEMAS if schemas is None else schemas
     messages = _messages(chats, conv_col, turn_col, role_col, text_col)
     calls, results = calls_of(messages), results_of(messages)
     named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
-    one_call = _first(calls.where(named), ["turn", "place", "tool", "arguments"], "n_calls")
-    one_result = _first(results.where(named), ["result_turn", "content"], "n_results")
-    linked = one_call.join(one_result, ["conv_id", "call_id"], "full_outer")
+    if each:
+        one_call = _each(calls.where(named), ["turn", "tool", "arguments", "depends_on"], ["turn", "place", "tool", "arguments", "depends_on"], "n_calls")
+        one_result = _each(results.where(named), ["result_turn", "content"], ["result_turn", "content"], "n_results")
+    else:
+        one_call = _first(calls.where(named), ["turn", "place", "tool", "arguments"], "n_calls").withColumn("number", F.lit(1))
+        one_result = _first(results.where(named), ["result_turn", "content"], "n_results").withColumn("number", F.lit(1))
+    linked = one_call.join(one_result, ["conv_id", "call_id", "number"], "full_outer")
     alone_calls = calls.where(~named).withColumn("n_calls", F.lit(1).cast("long"))
     alone_results = results.where(~named).withColumn("n_results", F.lit(1).cast("long"))
     rows = linked.unionByName(alone_calls, allowMissingColumns=True).unionByName(alone_results, allowMissingColumns=True)
-    layer = layers(one_call).withColumnRenamed("layer", "peeled").withColumn("out_of_order", F.lit(True))
-    rows = rows.join(layer, ["conv_id", "call_id"], "left")
+    # The first call of an id has the id's own name among the nodes, which depends_on refers to.
+    node = F.when(F.col("number") > 1, F.concat("call_id", F.lit("\0"), "number")).otherwise(F.col("call_id"))
+    layer = layers(one_call.withColumn("call_id", node)).select("conv_id", F.col("call_id").alias("node"), F.col("layer").alias("peeled"), F.lit(True).alias("out_of_order"))
+    rows = rows.withColumn("node", node).join(layer, ["conv_id", "node"], "left")
     is_call = F.col("n_calls").isNotNull()
     errors = F.when(is_call, schema_errors(F.col("tool"), F.col("arguments"), schemas))
     on_cycle = F.col("out_of_order") & F.col("peeled").isNull()

@@ -12,7 +12,7 @@ UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = chat.link(table(spark, sf_dir, "conversations"))
+    linked = chat.link(table(spark, sf_dir, "conversations"), each=True)
     return linked.select("conv_id", "turn", "layer", "status", "call_id", "n_calls", "n_results", "valid", F.sha2("record", 256).alias("record_sha256"))
 
 
