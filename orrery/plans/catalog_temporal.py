@@ -142,7 +142,7 @@ def a10(spark, sf_dir):
 
 @add("a11_diversity")
 def a11(spark, sf_dir):
-    return M.diversity(table(spark, sf_dir, "benchmark"), "item_id", "text", 40)
+    return M.diversity(table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
 @add("w3_exact_split", "SELECT 'train' AS split, floor(count(*) * 0.8)::BIGINT AS n FROM documents UNION ALL SELECT 'val', floor(count(*) * 0.1)::BIGINT FROM documents UNION ALL SELECT 'test', (count(*) - floor(count(*) * 0.8) - floor(count(*) * 0.1))::BIGINT FROM documents")
