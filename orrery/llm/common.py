@@ -10,6 +10,8 @@ from orrery.session import cut
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The ASCII white space [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
+#: Rows of a range partition, of narrow rows.
+RANGE_ROWS = 4_000_000
 #: Frequent keys hold at least 1/TRACKED of all rows, so there are at most TRACKED of them.
 TRACKED = 4096
 
@@ -45,6 +47,32 @@ def frequent(df: DataFrame, key: str, tracked: int = TRACKED, groups: int = 64)
     return found.select(F.col("x.item").alias(key))
 
 
+def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, tracked: int = TRACKED) -> DataFrame:
+    """rows joined with keyed, which has each key once, with the number of rows that have it in column ``count``.
+
+    Keys with at least 1/tracked of all rows, so at most tracked of them, are broadcast; the rows of others are
+    shuffled, and no key among these has many rows. Rows whose key is not in keyed go. Both are read twice.
+    """
+    total = F.broadcast(keyed.agg(F.sum(count).alias("all_rows")))
+    marked = keyed.join(total).withColumn("is_hot", F.col(count) * tracked >= F.col("all_rows")).drop("all_rows")
+    hot, cold = (marked.where(c).drop("is_hot", count) for c in ("is_hot", "NOT is_hot"))
+    own = [c for c in keyed.columns if c not in (count, *keys)]
+    out = [*rows.columns, *own]
+    there = rows.join(F.broadcast(hot), keys).select(*out)
+    return there.unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys).select(*out))
+
+
+def keep_smallest(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """docs whose id is the ``component_id`` of some row of found (id_col, component_id); columns as they were.
+
+    The ids that go are joined, not those that stay: they are far fewer, so the documents may stay where they are.
+    """
+    gone = unique_name("gone_id", docs.columns)
+    stays = F.col(id_col).eqNullSafe(F.col("component_id"))
+    ids = found.groupBy(F.col(id_col).alias(gone)).agg(F.max(stays).alias("stays")).where("NOT stays").select(gone)
+    return docs.join(cut(ids), F.col(id_col).eqNullSafe(F.col(gone)), "left_anti")
+
+
 def unique_name(wanted: str, taken: list[str]) -> str:
     """``wanted``, with underscores in front as long as a column of that name is there (names ignore case)."""
     low = {c.lower() for c in taken}
@@ -61,24 +89,23 @@ def global_index(df: DataFrame, order: list[str], out: str = "row_number") -> tu
     The offsets are one row per partition.
     """
     spark = df.sparkSession
-    tie, place = unique_name("tie", df.columns), unique_name("place", df.columns)
+    tie, place, at, start = (unique_name(c, [*df.columns, out]) for c in ("tie", "place", "part", "start"))
     keys = [F.col(c).asc_nulls_first() for c in order] + [F.col(tie)]
     tied = df.withColumn(tie, F.monotonically_increasing_id())
-    n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = cut(tied.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys).drop(tie))
+    ranged = cut(tied.repartitionByRange(range_partitions(df), *keys).sortWithinPartitions(*keys).drop(tie))
     placed = ranged.withColumn(place, F.monotonically_increasing_id())
     part = F.shiftright(F.col(place), 33)
-    counts = placed.groupBy(part.alias("part")).count().collect()  # one row per partition
+    counts = placed.groupBy(part.alias(at)).count().collect()  # one row per partition
     offsets, total = [], 0
-    for row in sorted(counts, key=lambda r: r["part"]):
-        offsets.append((row["part"], total))
+    for row in sorted(counts, key=lambda r: r[at]):
+        offsets.append((row[at], total))
         total += row["count"]
-    starts = spark.createDataFrame(offsets or [(0, 0)], "_part long, _start long")
+    starts = spark.createDataFrame(offsets or [(0, 0)], f"{at} long, {start} long")
     within = F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
-    out_df = (
-        placed.withColumn("_part", part)
-        .join(F.broadcast(starts), "_part")
-        .withColumn(out, F.col("_start") + within)
-        .drop("_part", "_start", place)
-    )
-    return out_df, total
+    numbered = placed.withColumn(at, part).join(F.broadcast(starts), at)
+    return numbered.select(*[f"`{c}`" for c in df.columns if c.lower() != out.lower()], (F.col(start) + within).alias(out)), total
+
+
+def range_partitions(df: DataFrame) -> int:
+    """How many range partitions the rows of df, which must be cut, are dealt to: as shuffles have, more for many rows."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))

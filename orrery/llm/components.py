@@ -9,20 +9,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.common import join_counted
 from orrery.session import cut
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star operation over undirected edges (a, b), given once each with a > b."""
+    # A hub has many rows, so its minimum is broadcast to them.
     if large:
         # Every node links its larger neighbours to its smallest neighbour (itself included).
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        moved = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        moved = join_counted(both.where("b > a"), least, ["a"], "n").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         # Every node links its smaller neighbours and itself to the smallest of them.
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        moved = join_counted(edges, least, ["a"], "n").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     return moved.where("a <> b").distinct()
 
 
@@ -38,6 +40,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     now = cut(now)
+    if now.isEmpty():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     before = None
     for _ in range(max_rounds):
         now = cut(_star(_star(now, large=True), large=False))
