@@ -23,7 +23,8 @@ piece -alpha * log(2 + vocabulary size).
 
 Defined results: a null text counts as empty; an empty text has the one empty segmentation; fewer than k
 segmentations give fewer rows; a literal U+2581 in a text is coded in bytes, so decoding gives back exactly the text;
-equal keys and texts give equal samples; an empty table gives no rows.
+equal keys and texts give equal samples; a text without spaces is one unit of any length (its lattice takes memory in
+proportion to it); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -53,10 +54,10 @@ BYTES = 1 << 21  # ids from here on stand for the byte pieces of the character i
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def _uniform(key: np.ndarray, sample: int, unit: np.ndarray, step: int) -> np.ndarray:
-    """Numbers in (0, 1), one for each (key, unit)."""
+def _uniform(key: np.ndarray, sample: int, unit: np.ndarray, step: int | np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1), one for each (key, unit), or for each step of one unit."""
     with np.errstate(over="ignore"):
-        x = key ^ (unit.astype(np.uint64) * _M1) ^ (np.uint64(sample * 1_000_003 + step + 1) * _M3)
+        x = key ^ (unit.astype(np.uint64) * _M1) ^ (np.asarray(sample * 1_000_003 + step + 1).astype(np.uint64) * _M3)
         x = (x ^ (x >> np.uint64(30))) * _M2
         x = (x ^ (x >> np.uint64(27))) * _M3
         x = (x ^ (x >> np.uint64(31))) * _M1
@@ -64,14 +65,21 @@ def _uniform(key: np.ndarray, sample: int, unit: np.ndarray, step: int) -> np.nd
 
 
 class _Random:
-    """A stream of numbers in (0, 1) for scalar steps."""
+    """A stream of numbers in (0, 1) for scalar steps, drawn in growing blocks."""
 
     def __init__(self, key: int, sample: int, unit: int):
         self.key, self.sample, self.unit, self.step = np.array([key], dtype=np.uint64), sample, np.array([unit]), 1 << 18
+        self.size, self.block = 8, iter(())
 
     def __call__(self) -> float:
-        self.step += 1
-        return float(_uniform(self.key, self.sample, self.unit, self.step)[0])
+        u = next(self.block, None)
+        if u is None:
+            steps = np.arange(self.step + 1, self.step + 1 + self.size)
+            self.step += self.size
+            self.size = min(4 * self.size, 8192)
+            self.block = iter(_uniform(self.key, self.sample, self.unit, steps).tolist())
+            u = next(self.block)
+        return u
 
 
 class Vocabulary:
@@ -97,7 +105,7 @@ class Vocabulary:
         joined = sorted({c for p in self.id_of if len(p) > 1 for c in p if c != " "})
         self.unit = re.compile(f" *[{re.escape(''.join(joined))}]+| +|[^ ]")
         self._index()
-        self.bytes_of = [b""] * size
+        self.bytes_of = [b""] * (size + 1)  # the last stands for ids that are unknown
         for p, i in self.id_of.items():
             self.bytes_of[i] = p.encode()
         for k, i in enumerate(byte):
@@ -115,7 +123,7 @@ class Vocabulary:
         self.upto, self.next, self.piece, self.logp = np.zeros(4096, dtype=np.float32), np.zeros(4096, dtype=np.int32), np.zeros(4096, dtype=np.int32), np.zeros(4096)
 
     def arcs(self, unit: str) -> list[list[tuple[int, float, int]]]:
-        """For each position, (id, log-weight, position after it)."""
+        """For each position, (id, log-weight, position after it): the plain form of ``_lookup``, which tests hold to it."""
         weight, id_of, longest, n, out = self.weight, self.id_of, self.longest, len(unit), []
         for i in range(n):
             here = []
@@ -130,14 +138,16 @@ class Vocabulary:
 
     def _index(self) -> None:
         """For each length, hashes of the pieces and of the starts of longer pieces, sorted, with the pieces' ids."""
-        self.pieces_by, self.starts_by = [], []
+        self.pieces_by, self.starts_by, piece_of = [], [], {i: p for p, i in self.id_of.items()}
         for n in range(1, self.longest + 1):
             own = sorted((self._hash(p), i, self.weight[p]) for p, i in self.id_of.items() if len(p) == n)
             longer = sorted({self._hash(p[:n]) for p in self.id_of if len(p) > n})
             hashes = np.array([h for h, _, _ in own], dtype=np.uint64)
             if len(set(hashes.tolist())) != len(hashes):
                 raise ValueError("two pieces with one hash")
-            self.pieces_by.append((hashes, np.array([i for _, i, _ in own], dtype=np.int64), np.array([w for _, _, w in own])))
+            ids = np.array([i for _, i, _ in own], dtype=np.int64)
+            spelt = np.array([[ord(c) for c in piece_of[i]] for i in ids.tolist()], dtype=np.uint64).reshape(len(own), n)
+            self.pieces_by.append((hashes, ids, np.array([w for _, _, w in own]), spelt))
             # A table of hash ends says no at once to most of what is no piece, and to what begins none.
             own_ends, starts = np.zeros(1 << 18, dtype=bool), np.zeros(1 << 18, dtype=bool)
             own_ends[(hashes >> np.uint64(46)).astype(np.int64)] = True
@@ -166,15 +176,19 @@ class Vocabulary:
                 break
             with np.errstate(over="ignore"):
                 h = (h ^ codes[at + n - 1]) * mult ^ (h >> np.uint64(29))
-            hashes, ids, weights = self.pieces_by[n - 1]
+            hashes, ids, weights, spelt = self.pieces_by[n - 1]
             own_ends, starts = self.starts_by[n - 1]
             ends = (h >> np.uint64(46)).astype(np.int32)
             if len(hashes):
                 likely = np.flatnonzero(own_ends[ends])
                 k = np.minimum(np.searchsorted(hashes, h[likely]), len(hashes) - 1)
-                hit = hashes[k] == h[likely]
-                places = at[likely[hit]]
-                found.append((places, np.full(len(places), n), ids[k[hit]], weights[k[hit]]))
+                hit = np.flatnonzero(hashes[k] == h[likely])
+                places, k = at[likely[hit]], k[hit]
+                # A hash only proposes; the characters decide.
+                same = (codes[places[:, None] + np.arange(n)] == spelt[k]).all(axis=1)
+                if not same.all():
+                    places, k = places[same], k[same]
+                found.append((places, np.full(len(places), n), ids[k], weights[k]))
                 if n == 1:
                     single[places] = True
             if starts is None:
@@ -199,7 +213,7 @@ class Vocabulary:
         return out
 
     def add_all(self, units: list[str]) -> None:
-        """Build the lattices of new short units, all together."""
+        """Build the lattices of new units, all short or all long, together. States of a unit follow its positions."""
         if not units:
             return
         size = np.array([len(u) for u in units], dtype=np.int64)
@@ -210,19 +224,8 @@ class Vocabulary:
         n = len(codes)
         first = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=n))])
         dst = src + length
-        back = np.zeros(n + 1)
         final = dst == end[src]
-        to_go = end - np.arange(n)
-        by_distance = np.argsort(to_go, kind="stable")
-        edges = np.searchsorted(to_go[by_distance], np.arange(1, size.max() + 2))
-        for d in range(int(size.max())):
-            states = by_distance[edges[d] : edges[d + 1]]
-            counts = first[states + 1] - first[states]
-            heads = np.cumsum(counts) - counts
-            arcs = np.repeat(first[states] - heads, counts) + np.arange(int(counts.sum()))
-            score = weight[arcs] + np.where(final[arcs], 0.0, back[dst[arcs]])
-            top = np.maximum.reduceat(score, heads)
-            back[states] = top + np.log(np.add.reduceat(np.exp(score - np.repeat(top, counts)), heads))
+        back = self._back_from_each_distance(first, dst, weight, final, end) if size.max() <= SHORT else self._back_one_by_one(first, dst, weight, final)
         logp = weight + np.where(final, 0.0, back[dst]) - back[src]
         total = np.cumsum(np.exp(logp))
         inner = total - np.concatenate([[0.0], total])[first[src]]
@@ -237,15 +240,48 @@ class Vocabulary:
         self.n_states, self.n_arcs = base + n, at + len(src)
         self.start.update(zip(units, (base + ends - size).tolist(), strict=True))
 
+    @staticmethod
+    def _back_from_each_distance(first: np.ndarray, dst: np.ndarray, weight: np.ndarray, final: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Log-sums over the segmentations from each state on: all states at one distance from their ends at a time."""
+        n = len(end)
+        back = np.zeros(n + 1)
+        to_go = end - np.arange(n)
+        by_distance = np.argsort(to_go, kind="stable")
+        farthest = int(to_go.max())
+        edges = np.searchsorted(to_go[by_distance], np.arange(1, farthest + 2))
+        for d in range(farthest):
+            states = by_distance[edges[d] : edges[d + 1]]
+            counts = first[states + 1] - first[states]
+            heads = np.cumsum(counts) - counts
+            arcs = np.repeat(first[states] - heads, counts) + np.arange(int(counts.sum()))
+            score = weight[arcs] + np.where(final[arcs], 0.0, back[dst[arcs]])
+            top = np.maximum.reduceat(score, heads)
+            back[states] = top + np.log(np.add.reduceat(np.exp(score - np.repeat(top, counts)), heads))
+        return back
+
+    @staticmethod
+    def _back_one_by_one(first: np.ndarray, dst: np.ndarray, weight: np.ndarray, final: np.ndarray) -> np.ndarray:
+        """The same for units of any length, state by state."""
+        n = len(first) - 1
+        back, to, w = [0.0] * (n + 1), np.where(final, n, dst).tolist(), weight.tolist()
+        edges = first.tolist()
+        for i in range(n - 1, -1, -1):
+            low, high = edges[i], edges[i + 1]
+            if high - low == 1:
+                back[i] = w[low] + back[to[low]]
+                continue
+            scores = [w[a] + back[to[a]] for a in range(low, high)]
+            top = max(scores)
+            back[i] = top + math.log(sum([math.exp(s - top) for s in scores]))
+        return np.array(back)
+
     def states_of(self, units: list[str]) -> np.ndarray:
         """First states of the units' lattices, all kept."""
         if self.n_states > STATES:
             self.reset()
         new = [u for u in dict.fromkeys(units) if u not in self.start]
         self.add_all([u for u in new if len(u) <= SHORT])
-        for u in new:
-            if len(u) > SHORT:
-                self.add(u)
+        self.add_all([u for u in new if len(u) > SHORT])
         return np.fromiter(map(self.start.__getitem__, units), dtype=np.int64, count=len(units))
 
     def _room(self, states: int, arcs: int) -> None:
@@ -256,36 +292,6 @@ class Vocabulary:
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
 
-    def add(self, unit: str) -> int:
-        """The first state of a unit's lattice, built if it isn't kept. States of a unit follow its positions."""
-        got = self.start.get(unit)
-        if got is not None:
-            return got
-        arcs = self.arcs(unit)
-        n = len(arcs)
-        back = [0.0] * (n + 1)
-        logp = [[]] * n
-        for i in range(n - 1, -1, -1):
-            scores = [w + back[j] for _, w, j in arcs[i]]
-            top = max(scores)
-            back[i] = top if len(scores) == 1 else top + math.log(sum(math.exp(s - top) for s in scores))
-            logp[i] = [s - back[i] for s in scores]
-        self._room(n, sum(map(len, arcs)))
-        base, at = self.n_states, self.n_arcs
-        for i in range(n):
-            total, last = 0.0, len(arcs[i]) - 1
-            self.first[base + i] = at
-            for k, ((piece, _, j), lp) in enumerate(zip(arcs[i], logp[i], strict=True)):
-                total += math.exp(lp)
-                self.upto[at] = 2.0 if k == last else total
-                self.next[at] = base + j if j < n else -1
-                self.piece[at], self.logp[at] = piece, lp
-                at += 1
-        self.n_states, self.n_arcs = base + n, at
-        self.first[self.n_states] = at
-        self.start[unit] = base
-        return base
-
     def sample(self, states: np.ndarray, key: np.ndarray, number: int, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(units, steps) arcs of a segmentation of each unit, -1 after the last, and its log-probability."""
         columns, active, at = [], np.arange(len(states)), states
@@ -306,40 +312,28 @@ class Vocabulary:
             active, at = active[on], at[on]
         return np.stack(columns, axis=1) if columns else np.full((len(states), 1), -1, dtype=np.int32), total
 
-    def remaining(self, state: int, node: dict | None) -> float:
-        """Probability, from a state on, of all paths but those in a trie of excluded ones ({} ends a path).
-
-        A sum of what remains, not one less what is gone: tiny masses keep their digits.
-        """
-        if node is None or state < 0:
-            return 1.0 if node is None else 0.0
-        total = 0.0
-        for a in range(int(self.first[state]), int(self.first[state + 1])):
-            child = node.get(a)
-            if child is None:
-                total += math.exp(self.logp[a])
-            elif child:
-                total += math.exp(self.logp[a]) * self.remaining(int(self.next[a]), child)
-        return total
-
-    def sample_one(self, state: int, excluded: dict | None, random: _Random) -> list[int]:
+    def sample_one(self, state: int, excluded: _Excluded | None, random: _Random) -> list[int]:
         """Arcs of one segmentation that is not among the excluded paths, of which some must be left."""
-        out, node = [], excluded
-        while state >= 0:
-            arcs = range(int(self.first[state]), int(self.first[state + 1]))
-            if node is None:
-                left = [math.exp(self.logp[a]) for a in arcs]
-            else:
-                left = [math.exp(self.logp[a]) * (1.0 if (child := node.get(a)) is None else child and self.remaining(int(self.next[a]), child) or 0.0) for a in arcs]
+        out, node = [], 0
+        while excluded is not None and state >= 0 and node >= 0:
+            first, last = int(self.first[state]), int(self.first[state + 1])
+            children = excluded.children(node)
+            left = [p * (excluded.left[children[a]] if children[a] >= 0 else 0.0) if a in children else p for a, p in zip(range(first, last), np.exp(self.logp[first:last]).tolist(), strict=True)]
             u, chosen = random() * sum(left), -1
-            for a, p in zip(arcs, left, strict=True):
+            for a, p in zip(range(first, last), left, strict=True):
                 if p > 0:
                     chosen = a
                     u -= p
                     if u < 0:
                         break
             out.append(chosen)
-            node = node.get(chosen) if node is not None else None
+            # Off the excluded paths nothing is excluded any more.
+            node, state = children.get(chosen, -1), int(self.next[chosen])
+        while state >= 0:
+            first, last = int(self.first[state]), int(self.first[state + 1])
+            # The last arc's running probability is above 1.
+            chosen = first + int(self.upto[first:last].searchsorted(random(), side="right")) if last - first > 1 else first
+            out.append(chosen)
             state = int(self.next[chosen])
         return out
 
@@ -367,8 +361,10 @@ class Vocabulary:
     def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 of the texts whose ids end at ``ends``, one after the other, and where each text ends in it.
 
-        The space that encoding puts in front goes.
+        The space that encoding puts in front goes. Ids that the vocabulary does not have stand for nothing.
         """
+        unknown = len(self.bytes_of) - 1
+        ids = np.where((ids >= 0) & (ids < unknown), ids, unknown)
         size = self.byte_size[ids]
         stop = np.concatenate([[0], np.cumsum(size)])
         source = np.repeat(self.byte_start[ids] - stop[:-1], size) + np.arange(int(stop[-1]))
@@ -384,6 +380,72 @@ class Vocabulary:
         return raw[keep], text_ends - np.cumsum(gone)
 
 
+class _Excluded:
+    """A trie of distinct paths from one state on, and the probability of what is left when they are taken out.
+
+    Paths share nodes as far as they agree. A path's further nodes have consecutive numbers, so a node's first child is
+    the next number, and only forks are kept apart; every child has a larger number than its node, so one pass from the
+    last node to the first gives all masses, however long the paths are.
+    """
+
+    def __init__(self, vocab: Vocabulary, state: int, paths: list[np.ndarray]):
+        self.states, self.arcs, self.last, self.forks = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=bool), {}
+        for path in paths:
+            path = np.asarray(path, dtype=np.int64)
+            self._insert(vocab, state, path)
+        first = vocab.first[self.states].astype(np.int64)
+        counts = vocab.first[self.states + 1] - first
+        heads = np.cumsum(counts) - counts
+        mass = np.exp(vocab.logp[np.repeat(first - heads, counts) + np.arange(int(counts.sum()))])
+        own = heads + self.arcs - first
+        taken = mass[own].tolist()
+        mass[own] = 0.0
+        forked = {}
+        for node, others in self.forks.items():
+            for arc, child in others.items():
+                at = int(heads[node] + arc - first[node])
+                forked.setdefault(node, []).append((float(mass[at]), child))
+                mass[at] = 0.0
+        # A sum of what remains, not one less what is gone: tiny masses keep their digits.
+        left, ends = np.add.reduceat(mass, heads).tolist(), self.last.tolist()
+        for node in range(len(left) - 1, -1, -1):
+            if not ends[node]:
+                left[node] += taken[node] * left[node + 1]
+            for p, child in forked.get(node, ()):
+                if child >= 0:
+                    left[node] += p * left[child]
+        self.left = left
+
+    def _insert(self, vocab: Vocabulary, state: int, path: np.ndarray) -> None:
+        node, k = 0, 0
+        while len(self.arcs) and k < len(path):
+            length = min(len(path) - k, len(self.arcs) - node)
+            differs = (self.arcs[node : node + length] != path[k : k + length]) | self.last[node : node + length]
+            step = int(np.argmax(differs)) if differs.any() else length
+            node, k = node + step, k + step
+            if k >= len(path) or self.arcs[node] == path[k]:
+                return  # the path is there already
+            others = self.forks.setdefault(node, {})
+            arc = int(path[k])
+            k += 1
+            if arc in others:
+                node = others[arc]
+                continue
+            others[arc] = len(self.arcs) if k < len(path) else -1
+            state = int(vocab.next[arc])
+            break
+        rest = path[k:]
+        if not len(rest):
+            return
+        self.states = np.concatenate([self.states, [state], vocab.next[rest[:-1]]]).astype(np.int64)
+        self.arcs = np.concatenate([self.arcs, rest])
+        self.last = np.concatenate([self.last, np.zeros(len(rest) - 1, dtype=bool), [True]])
+
+    def children(self, node: int) -> dict[int, int]:
+        """Excluded arcs of a node, with their nodes; -1 where a path ends."""
+        return {int(self.arcs[node]): -1 if self.last[node] else node + 1} | self.forks.get(node, {})
+
+
 @lru_cache(maxsize=4)
 def vocabulary(tokenizer: str = TOKENIZER, alpha: float = ALPHA) -> Vocabulary:
     import os
@@ -466,14 +528,6 @@ def top_k(vocab: Vocabulary, texts: list[str | None], keys: np.ndarray, k: int =
             logp[u] = vocab.logp[kept[u]].sum()
         return _Paths(arcs, logp, kept)
 
-    def trie(paths: list[list[int]]) -> dict:
-        root: dict = {}
-        for p in paths:
-            node = root
-            for a in p:
-                node = node.setdefault(a, {})
-        return root
-
     n = len(texts)
     zero = np.zeros(n, dtype=np.int64)
     root = -np.log(-np.log(_uniform(keys, 0, zero, 1 << 17)))
@@ -495,14 +549,14 @@ def top_k(vocab: Vocabulary, texts: list[str | None], keys: np.ndarray, k: int =
             paths.arcs[low:j, :width], paths.logp[low:j] = made[parent].arcs[low:j], made[parent].logp[low:j]
             for u in [u for u in paths.long if low <= u < j]:
                 paths.long[u] = made[parent].long[u]
-            row = vocab.sample_one(int(state[j]), trie(excluded), _Random(int(keys[d]), number, j - low))
+            row = vocab.sample_one(int(state[j]), _Excluded(vocab, int(state[j]), excluded), _Random(int(keys[d]), number, j - low))
             if j in paths.long:
                 paths.long[j] = np.array(row, dtype=np.int64)
             else:
                 paths.widen(len(row))
                 paths.arcs[j] = -1
                 paths.arcs[j, : len(row)] = row
-            paths.logp[j] = sum(vocab.logp[a] for a in row)
+            paths.logp[j] = vocab.logp[row].sum()
         made.append(paths)
         # Mass and truncated Gumbel of each part of what is left of the popped subsets.
         total = np.concatenate([[0.0], np.cumsum(paths.logp)])
@@ -519,7 +573,7 @@ def top_k(vocab: Vocabulary, texts: list[str | None], keys: np.ndarray, k: int =
             j, excluded = item[2], item[3]
             free[starts[d] : j] = False
             if excluded:
-                mass = vocab.remaining(int(state[j]), trie([paths.of(j).tolist(), *excluded]))
+                mass = _Excluded(vocab, int(state[j]), [paths.of(j), *excluded]).left[0]
                 other[j] = math.log(mass) if mass > 0 else -np.inf
         mu = np.where(free, before + other, -np.inf)
         value = _truncated(mu, bound[owner], _uniform(key, number, place, (1 << 17) + 1))
@@ -539,9 +593,7 @@ def top_k(vocab: Vocabulary, texts: list[str | None], keys: np.ndarray, k: int =
             for b in best.tolist():
                 if mine[b] > -np.inf:
                     u = low + b
-                    excluded = [paths.of(u).tolist()] + (item[3] if u == item[2] else [])
-                    if vocab.remaining(int(state[u]), trie(excluded)) <= 0:
-                        continue  # a single segmentation whose probability was rounded below 1
+                    excluded = [paths.of(u)] + (item[3] if u == item[2] else [])
                     heapq.heappush(queue[d], (-float(mine[b]), number * (1 << 40) + b, u, excluded, number))
     for d in range(n):
         threshold = -queue[d][0][0] if queue[d] else -math.inf
@@ -603,7 +655,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
 
 
 def decode(coded: DataFrame, ids_col: str = "ids", out: str = "text", tokenizer: str = TOKENIZER, drop_ids: bool = False) -> DataFrame:
-    """coded with the decoded text in ``out`` (a column of that name gives way). Null ids decode to an empty text."""
+    """coded with the decoded text in ``out`` (a column of that name gives way). Null ids decode to an empty text, null or
+    unknown ids among others to nothing, and bytes that are no UTF-8 to U+FFFD."""
     kept = [c for c in coded.columns if c.lower() != out.lower() and not (drop_ids and c == ids_col)]
     narrow = coded.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias(unique_name("ids_in", kept)))
     schema = ", ".join([*(f"`{c}` {coded.schema[c].dataType.simpleString()}" for c in kept), f"`{out}` string"])
@@ -615,9 +668,10 @@ def decode(coded: DataFrame, ids_col: str = "ids", out: str = "text", tokenizer:
             for s in range(0, batch.num_rows, rows):
                 part = batch.slice(s, rows)
                 ids = part.column(n)
-                raw, ends = vocab.decode_all(ids.flatten().to_numpy(zero_copy_only=False), np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)))
-                offsets = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32).tobytes())
-                texts = pa.StringArray.from_buffers(part.num_rows, offsets, pa.py_buffer(raw.tobytes()))
+                raw, ends = vocab.decode_all(ids.flatten().fill_null(-1).to_numpy(zero_copy_only=False), np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)))
+                raw, ends = raw.tobytes(), ends.tolist()
+                # Ids that encoding did not make may spell bytes that are no UTF-8.
+                texts = pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip([0, *ends], ends, strict=False)], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], texts], names=names)
 
     return narrow.mapInArrow(run, schema)

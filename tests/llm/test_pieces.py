@@ -91,3 +91,89 @@ def test_operator(spark):
     rows = pieces.decode(coded).collect()
     assert Counter((r.doc_id, r.text) for r in rows) == {(1, "hello world"): 4, (2, ""): 1, (None, "hello world"): 2}
     assert pieces.encode(df.where("false")).count() == 0
+
+
+def unbroken(n):
+    rng = np.random.default_rng(n)
+    letters = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    base64 = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/="), n))
+    mixed = "".join(rng.choice(list("数据模型the一été"), n))
+    return [letters, "x" * n, base64, mixed]
+
+
+@pytest.mark.parametrize("k", [1, 2, 8])
+def test_long_unbroken_texts(vocab, k):
+    from sentencepiece import SentencePieceProcessor
+
+    import public_tokenizers
+
+    library = SentencePieceProcessor(model_file=public_tokenizers.path(pieces.TOKENIZER))
+    texts = unbroken(20_000)
+    for text, rows in zip(texts, pieces.top_k(vocab, texts, np.arange(len(texts), dtype=np.uint64), k), strict=True):
+        assert len(rows) == k == len({tuple(r[0].tolist()) for r in rows})
+        assert all(a[2] >= b[2] for a, b in zip(rows, rows[1:], strict=False))
+        for r in rows:
+            assert vocab.decode(r[0].tolist()) == text
+            assert library.decode(r[0].tolist()) == text
+
+
+def test_a_million_characters_without_a_space(vocab):
+    text = unbroken(1_000_000)[0]
+    rows = pieces.top_k(vocab, [text], np.array([7], dtype=np.uint64), 2)[0]
+    assert len(rows) == 2 and all(vocab.decode(r[0].tolist()) == text for r in rows)
+
+
+def test_both_ways_of_building_lattices_agree(vocab):
+    units = [" internationalisation", "mississippi", " x", "的数据"]
+    vocab.reset()
+    vocab.add_all(units)
+    states = [vocab.start[u] for u in units]
+    short = [vocab.logp[int(vocab.first[s]) : int(vocab.first[s + len(u)])].copy() for s, u in zip(states, units, strict=True)]
+    vocab.reset()
+    vocab.add_all([*units, "q" * 40])  # one long unit makes all of them go state by state
+    for u, want in zip(units, short, strict=True):
+        s = vocab.start[u]
+        assert np.allclose(vocab.logp[int(vocab.first[s]) : int(vocab.first[s + len(u)])], want)
+        arcs = vocab.arcs(u)
+        assert [len(a) for a in arcs] == np.diff(vocab.first[s : s + len(u) + 1]).tolist()
+    vocab.reset()
+
+
+def test_masses_of_what_is_left(vocab):
+    """Against all segmentations: what is left when some paths are taken out, and draws from it."""
+    unit = " internat"
+    vocab.reset()
+    vocab.add_all([unit])
+    state = vocab.start[unit]
+    paths = []
+
+    def walk(at, path, p):
+        if at < 0:
+            paths.append((path, p))
+            return
+        for a in range(int(vocab.first[at]), int(vocab.first[at + 1])):
+            walk(int(vocab.next[a]), [*path, a], p * math.exp(vocab.logp[a]))
+
+    walk(state, [], 1.0)
+    out = [paths[i] for i in (0, 3, len(paths) // 2, len(paths) - 1)]
+    excluded = pieces._Excluded(vocab, state, [np.array(p) for p, _ in [*out, out[0]]])
+    assert abs(excluded.left[0] - (1 - sum(p for _, p in out))) < 1e-12
+    gone = {tuple(p) for p, _ in out}
+    drawn = [tuple(vocab.sample_one(state, excluded, pieces._Random(k, 0, 0))) for k in range(300)]
+    assert not gone & set(drawn) and len(set(drawn)) > 3
+
+
+def test_repeated_rows_and_long_texts_in_spark(spark):
+    rows = [(1, "hello big world"), (1, "hello big world"), (2, "x" * 5000), (3, unbroken(3000)[2]), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = pieces.encode(df, k=5, verify=True).collect()
+    assert all(r.round_trip for r in out)
+    by = Counter((r.doc_id, tuple(r.ids)) for r in out if r.doc_id == 1)
+    assert len(by) == 5 and set(by.values()) == {2}
+
+
+def test_unknown_ids_decode_to_nothing(spark, vocab):
+    ids = vocab.id_of["the"]
+    rows = [(1, [ids, 10**6, -5, None, ids]), (2, None), (3, []), (4, [vocab.first_byte + 0xFF])]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in pieces.decode(df).collect()} == {1: "thethe", 2: "", 3: "", 4: "�"}
