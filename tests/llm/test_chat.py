@@ -62,3 +62,53 @@ def test_repeats_and_nulls(spark):
     assert by == [("1", "call_without_id", 1, 0), ("1", "call_without_result", 1, 0), ("1", "context", 0, 0), ("1", "linked", 3, 2), ("None", "call_without_id", 1, 0), ("None", "result_without_id", 0, 1)]
     assert next(r for r in out if r.status == "linked").record.endswith('"result":"a"}')
     assert chat.link(df.where("false")).count() == 0
+
+
+def test_ids_of_exchanges_and_of_json_differ(spark):
+    rows = [(1, 1, "user", "q"), (1, 2, "assistant", json.dumps({"tool_calls": [call("turn-1", "find", q="x")]})), (1, 3, "tool", json.dumps({"tool_call_id": "turn-1", "content": "found"}))]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], COLUMNS)
+    got = sorted((r.tool, r.status, r.turn) for r in chat.link(df, SCHEMAS).collect())
+    assert got == [("find", "linked", 2), ("respond", "call_without_result", 1)]
+
+
+def test_json_after_white_space_and_other_json(spark):
+    rows = [(1, 1, "assistant", " \r\n\t" + json.dumps({"tool_calls": [call("a", "find", q="x")]})), (1, 2, "tool", "  " + json.dumps({"tool_call_id": "a", "content": "yes"})), (1, 5, "assistant", '{"tool_calls":[]}'), (1, 7, "assistant", '{"other":1}'), (1, 9, "assistant", "{broken")]
+    got = run(spark, rows)
+    assert got[1, "a", 1].status == "linked" and json.loads(got[1, "a", 1].record)["result"] == "yes"
+    assert {k[1] for k, r in got.items() if r.status == "result_without_call"} == {"turn-4", "turn-6", "turn-8"} and len(got) == 4
+
+
+def brute_layers(calls):
+    """{id: layer} by the longest path below each call; None on a cycle or after one."""
+    needs = {c["id"]: [n for n in c.get("depends_on", []) if any(d["id"] == n for d in calls)] for c in calls}
+    layer = {}
+    while True:
+        ready = [c for c in needs if c not in layer and all(n in layer for n in needs[c])]
+        if not ready:
+            return {c: layer.get(c) for c in needs}
+        layer |= {c: max((layer[n] + 1 for n in needs[c]), default=0) for c in ready}
+
+
+def test_layers_of_random_dependencies(spark):
+    import random
+
+    rng, rows, want = random.Random(4), [], {}
+    for conv in range(30):
+        names = [f"c{i}" for i in range(rng.randrange(2, 25))]
+        calls = [call(n, needs=rng.sample(names, min(len(names), rng.choice([0, 1, 1, 1, 2, 3]))) or None) for n in names]
+        if conv % 2:  # without cycles: only on earlier names, told in another order
+            calls = [call(n, needs=[m for m in names[:i] if rng.random() < 0.2] or None) for i, n in enumerate(names)]
+            rng.shuffle(calls)
+        rows.append((conv, 1, "assistant", json.dumps({"tool_calls": calls})))
+        order = {c["id"]: i for i, c in enumerate(calls)}
+        late = any(order[n] >= order[c["id"]] for c in calls for n in c.get("depends_on", []))
+        want |= {(conv, k): v if late else 0 for k, v in brute_layers(calls).items()}
+    got = {k[:2]: r.layer for k, r in run(spark, rows).items()}
+    assert got == want
+
+
+def test_a_long_chain(spark):
+    n = 10_000
+    rows = [(1, n - i, "assistant", json.dumps({"tool_calls": [call(f"c{i}", needs=[f"c{i - 1}"] if i else None)]})) for i in range(n)]
+    got = run(spark, rows)
+    assert all(got[1, f"c{i}", n - i].layer == i for i in (0, 1, 57, 4096, n - 1)) and len(got) == n
