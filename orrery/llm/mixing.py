@@ -26,8 +26,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import text_of, unique_name
-from orrery.session import cut
+from orrery.llm.common import range_partitions, text_of, unique_name
+from orrery.session import cut, store
 
 WEIGHTS, BUDGET, MOST, SHARDS, BLOCKS_A_SHARD, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, 24, 64, 11
 
@@ -78,12 +78,11 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
 
 
 def _ordered(rows: DataFrame) -> DataFrame:
-    """rows (id, source, size, key) with start: the words that stand before a row in its source's order."""
-    tied = rows.withColumn("tie", F.monotonically_increasing_id())
-    n_parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keys = [F.col("source").asc_nulls_last(), F.col("key").asc(), F.col("id").asc_nulls_first(), F.col("size").asc(), F.col("tie").asc()]
+    """rows (id, row, source, size, key) with start: the words that stand before a row in its source's order."""
+    n_parts = range_partitions(rows)
+    keys = [F.col("source").asc_nulls_last(), F.col("key").asc(), F.col("id").asc_nulls_first(), F.col("size").asc(), F.col("row").asc()]
     # A partition holds neighbours in the order; rows of size 0 need no place.
-    ranged = cut(tied.where("size > 0").repartitionByRange(n_parts, *keys).withColumn("part", F.spark_partition_id()))
+    ranged = cut(rows.where("size > 0").repartitionByRange(n_parts, *keys).withColumn("part", F.spark_partition_id()))
     offsets = ranged.groupBy("source", "part").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = offsets.select(F.col("source").alias("of"), F.col("part").alias("at_part"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
@@ -91,7 +90,7 @@ def _ordered(rows: DataFrame) -> DataFrame:
     placed = ranged.withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0)))
     # One offset a partition and source that meet: at most partitions + sources of them, as sources are in order.
     joined = placed.join(F.broadcast(offsets), F.col("of").eqNullSafe(F.col("source")) & (F.col("at_part") == F.col("part")))
-    return joined.select("id", "source", "size", "key", (F.col("start") + F.col("offset")).alias("start"))
+    return joined.select("id", "row", "source", "size", "key", (F.col("start") + F.col("offset")).alias("start"))
 
 
 def mix_plan(
@@ -104,13 +103,16 @@ def mix_plan(
     most: float = MOST,
     shards: int = SHARDS,
     seed: int = SEED,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, taken, draws.
+    """One row per document: id, source, size, source_size, target, taken, draws (and mix_row, if ``row_col`` is given).
 
     draws holds a struct (pass, block, shard, local_key) for each time the mix takes the document; block numbers are
-    a source's own, local_key orders a shard. weights repeat over the sources in code point order.
+    a source's own, local_key orders a shard. weights repeat over the sources in code point order. mix_row is the
+    number in ``row_col``, by which rows equal in id, text and source are ordered; else their place in docs orders them.
     """
-    rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words_of(text_col).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), text_of(text_col)).alias("key")))
+    number = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    rows = cut(docs.select(F.col(id_col).alias("id"), number.alias("row"), F.col(source_col).cast("string").alias("source"), words_of(text_col).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), text_of(text_col)).alias("key")))
     by_source = rows.groupBy("source").agg(F.sum("size").alias("size")).collect()  # one row a source
     # Code points in order are UTF-8 bytes in order.
     by_source.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
@@ -144,28 +146,26 @@ def mix_plan(
     def draw(p):
         at = p.cast("long") * F.col("a_pass") + F.col("block")
         shard = F.size(F.filter("ends", lambda e: e <= at)).cast("int")
-        return F.struct(p.alias("pass"), at.alias("block"), F.least(shard, F.lit(shards - 1)).alias("shard"), F.xxhash64(F.lit(seed + 1), F.col("key"), p).alias("local_key"))
+        return F.struct(p.alias("pass"), at.alias("block"), F.least(shard, F.lit(shards - 1)).alias("shard"), F.xxhash64(F.lit(seed + 1), F.col("key"), F.col("start"), p).alias("local_key"))
 
     draws = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0), F.col("passes") - 1), draw)).otherwise(F.array().cast("array<struct<pass:int,block:bigint,shard:int,local_key:bigint>>"))
-    columns = ["id", "source", "size", "key", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), draws.alias("draws")]
+    columns = ["id", "row", "source", "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), draws.alias("draws")]
     empty = rows.where("size = 0").join(F.broadcast(known), F.col("of").eqNullSafe(F.col("source")))
     nothing = empty.select(
-        "id", "source", "size", "key", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.array().cast("array<struct<pass:int,block:bigint,shard:int,local_key:bigint>>").alias("draws")
+        "id", "row", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.array().cast("array<struct<pass:int,block:bigint,shard:int,local_key:bigint>>").alias("draws")
     )
-    return drawn.select(*columns).unionByName(nothing).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken", "draws", F.col("key").alias("mix_key"))
+    return drawn.select(*columns).unionByName(nothing).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken", "draws", *([] if row_col is None else [F.col("row").alias("mix_row")]))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **params) -> DataFrame:
     """docs as the mix takes them: a row for each draw, with shard and local_key beside the columns of docs.
 
-    Columns of docs of these names give way. The draws are joined back by (id, keyed text hash), once per distinct
-    pair, so repeated rows are each drawn as the first of them is.
+    Columns of docs of these names give way. docs are numbered and written to the shared folder, and draws joined back by
+    number, so repeated rows are drawn each for itself.
     """
     out = docs.drop(*[c for c in docs.columns if c.lower() in ("shard", "local_key")])
-    mine, key, draws, draw = (unique_name(c, out.columns) for c in ("mix_id", "mix_key", "draws", "draw"))
-    plan = mix_plan(docs, id_col, text_col, source_col, seed=seed, **params).where("taken > 0")
-    plan = plan.groupBy(F.col(id_col).alias(mine), F.col("mix_key").alias(key)).agg(F.max_by("draws", F.size("draws")).alias(draws))
-    hashed = F.xxhash64(F.lit(seed), F.col(id_col), text_of(text_col))
-    joined = out.join(plan, (hashed == F.col(key)) & F.col(id_col).eqNullSafe(F.col(mine)))
-    rows = joined.withColumn(draw, F.explode(draws))
+    row, draw = unique_name("mix_row", out.columns), unique_name("draw", out.columns)
+    full = store(out.withColumn(row, F.monotonically_increasing_id()))
+    plan = mix_plan(full, id_col, text_col, source_col, seed=seed, row_col=row, **params).where("taken > 0")
+    rows = full.join(plan.select(F.col("mix_row").alias(row), F.explode("draws").alias(draw)), row)
     return rows.select(*[f"`{c}`" for c in out.columns], F.col(f"{draw}.shard").alias("shard"), F.col(f"{draw}.local_key").alias("local_key"))

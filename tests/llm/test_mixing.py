@@ -75,3 +75,13 @@ def test_mix_repeats_rows(spark):
     count = Counter((r.doc_id, len((r.text or "").split())) for r in mixed.collect() if r.doc_id is not None and r.doc_id > 5)
     assert count == Counter({k: v for k, v in plan.items() if v})
     assert mixing.mix(df.where("false")).count() == 0
+
+
+def test_equal_rows_meet_the_target(spark):
+    rows = [(1, "a b c", "s")] * 1000 + [(2, "a b", "t"), (2, "a b", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    plan = mixing.mix_plan(df).collect()
+    taken = sum(r.taken for r in plan if r.source == "s")
+    assert len(plan) == 1002 and abs(taken - plan[0].target if plan[0].source == "s" else 0) <= 3
+    mixed = Counter(r.doc_id for r in mixing.mix(df).collect())
+    assert 3 * mixed[1] == taken and 2 * mixed[2] == sum(r.taken for r in plan if r.source == "t")
