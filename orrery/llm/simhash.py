@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import LOWER, UPPER, unique_name
+from orrery.llm.common import LOWER, UPPER, join_counted, keep_smallest
 from orrery.llm.components import connected_components
 from orrery.session import cut
 
@@ -112,12 +112,12 @@ def links(nodes: DataFrame, radius: int = RADIUS, small: int = SMALL) -> DataFra
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, small: int = SMALL) -> DataFrame:
     """One row per document: id, fp (signed long), fingerprint (hex), component_id (smallest id reachable)."""
     prints = cut(fingerprints(docs, id_col, text_col))
-    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")))
     found = connected_components(links(nodes.select("fp"), radius, small))
-    named = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    label = cut(named.join(smallest, "component").select("fp", "component_id"))
-    return prints.join(label, "fp").select(
+    named = cut(nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    label = cut(join_counted(named, smallest, ["component"], "members").select("fp", "copies", "component_id"))
+    return join_counted(prints, label, ["fp"], "copies").select(
         F.col("id").alias(id_col), "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
@@ -128,7 +128,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Ids should be unique; rows that repeat the smallest id of a component all stay, and a component whose ids are all
     null stays whole.
     """
-    keep = unique_name("keep_id", docs.columns)
-    found = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    ids = found.select(F.col(id_col).alias(keep)).distinct()
-    return docs.join(ids, F.col(id_col).eqNullSafe(F.col(keep)), "left_semi")
+    return keep_smallest(docs, near_duplicates(docs, id_col, text_col), id_col)
