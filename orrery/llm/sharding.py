@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.common import global_index, text_of, unique_name
-from orrery.session import cut
+from orrery.session import cut, store
 
 SEED, SHARDS, ROUNDS = 20_240_117, 24, 6
 MASK64 = (1 << 64) - 1
@@ -86,13 +86,14 @@ def assign(numbered: DataFrame, n: int, number_col: str = "row_number", shards:
     return out.withColumn("shard", (F.col(at) % shards).cast("int")).withColumn("slot", F.expr(f"`{at}` div {shards}")).drop(at)
 
 
-def shard_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """One narrow row per document: id, size, text_crc32, row_number, shard, slot."""
+def shard_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, seed: int = SEED, row_col: str | None = None) -> DataFrame:
+    """One narrow row per document: id, size, text_crc32, row_number, shard, slot, and ``row_col`` if it is given."""
     narrow = cut(
         docs.select(
             F.col(id_col),
             (F.octet_length(text_of(text_col)).cast("long") + 8).alias("size"),
             F.crc32(text_of(text_col).cast("binary")).alias("text_crc32"),
+            *([] if row_col is None else [F.col(row_col)]),
         )
     )
     numbered, n = global_index(narrow, [id_col, "text_crc32", "size"])
@@ -102,8 +103,12 @@ def shard_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, seed: int = SEED, tasks_per_shard: int = 8) -> None:
     """Write docs as shard=K folders, in slot order within each of ``tasks_per_shard`` slot ranges.
 
-    Ids must be unique and not null here: the plan is joined back to the documents by id.
+    docs are numbered and written to the shared folder first and the plan is joined back by number, so null and repeated
+    ids lose and multiply nothing. Columns named shard or slot give way.
     """
-    plan = shard_plan(docs, id_col, text_col, shards, seed).select(id_col, "shard", "slot")
-    full = docs.drop(*[c for c in docs.columns if c.lower() in ("shard", "slot")]).join(plan, id_col)
-    full.repartitionByRange(shards * tasks_per_shard, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    out = docs.drop(*[c for c in docs.columns if c.lower() in ("shard", "slot")])
+    row = unique_name("shard_row", out.columns)
+    full = store(out.withColumn(row, F.monotonically_increasing_id()))
+    plan = shard_plan(full, id_col, text_col, shards, seed, row).select(row, "shard", "slot")
+    placed = full.join(plan, row).drop(row)
+    placed.repartitionByRange(shards * tasks_per_shard, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
