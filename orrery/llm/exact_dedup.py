@@ -4,10 +4,12 @@
 2. Misra-Gries summaries name digests that may hold 1/TRACKED of the rows or more.
 3. An exact, map-side combined count of those candidates keeps the verified ones, at most TRACKED of them, each with
    its winner. They are broadcast, so rows of frequent digests get their group's values without a shuffle.
-4. All other digests take one ordinary shuffle by digest; none of them has many rows.
+4. All other digests take one ordinary shuffle by digest. A frequent one that the summaries missed would be among them;
+   results would be the same.
 
 Defined results: a null text counts as empty, an empty text is a text like any other; the row with the largest id
-stays, a null id being less than any other; of rows equal in id and text one stays; an empty table gives no rows.
+stays, a null id being less than any other; of rows equal in id and text one stays (of
+``drop_exact_duplicates`` that with the least hash of all its columns); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -70,13 +72,13 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     digest, together with their columns.
     """
     columns = docs.columns
-    digest, short, id_, row = (unique_name(c, columns) for c in ("digest", "short", "id", "row"))
-    full = docs.withColumn(digest, F.unhex(F.sha2(normalised(text_col), 256))).withColumn(id_, F.col(id_col))
+    digest, short, id_, row, turn = (unique_name(c, columns) for c in ("digest", "short", "id", "row", "turn"))
+    full = docs.withColumn(digest, F.unhex(F.sha2(normalised(text_col), 256))).withColumn(id_, F.col(id_col)).withColumn(turn, F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
     keyed = cut(full.select(F.col(id_).alias("id"), F.col(digest).alias("digest")).withColumn("row", F.lit(0)).withColumn("short", F.xxhash64("digest")))
     heavy = cut(_split(keyed, tracked)).select(F.col("digest").alias(digest), F.col("keep_id").alias(short))
     # A frequent digest's winning rows: one, or the repeats of one id, which a partial aggregation brings down to one.
     hot = full.join(F.broadcast(heavy), digest).where(F.col(id_).eqNullSafe(F.col(short)))
-    hot = hot.groupBy(digest).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in columns]), F.lit(0)).alias(row)).select(f"{row}.*")
-    order = Window.partitionBy(digest).orderBy(F.col(id_).desc_nulls_last())
+    hot = hot.groupBy(digest).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in columns]), turn).alias(row)).select(f"{row}.*")
+    order = Window.partitionBy(digest).orderBy(F.col(id_).desc_nulls_last(), turn)
     cold = full.join(F.broadcast(heavy), digest, "left_anti").withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).select(*[f"`{c}`" for c in columns])
     return hot.unionByName(cold)
