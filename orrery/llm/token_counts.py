@@ -117,13 +117,14 @@ class PrefixCounter:
             hashes = np.array([h for h, _ in own], dtype=np.uint64)
             if len(set(hashes.tolist())) != len(hashes):
                 raise ValueError("two tokens with one hash")
-            self.tokens_by.append((hashes, np.array([i for _, i in own], dtype=np.int64)))
+            spelt = np.frombuffer(b"".join(raw[i] for _, i in own), dtype=np.uint8).reshape(len(own), n)
+            self.tokens_by.append((hashes, np.array([i for _, i in own], dtype=np.int64), spelt.astype(np.uint64)))
             self.starts_by.append(np.array(sorted({_hash(r[:n]) for r in raw if len(r) > n}), dtype=np.uint64))
 
     def _tokens_in(self, codes: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All tokens inside joined pieces: (start, length, number). end: of the piece that each byte is in."""
         at, h, found = np.arange(len(codes)), np.zeros(len(codes), dtype=np.uint64), []
-        for n, ((hashes, numbers), starts) in enumerate(zip(self.tokens_by, self.starts_by, strict=True), 1):
+        for n, ((hashes, numbers, spelt), starts) in enumerate(zip(self.tokens_by, self.starts_by, strict=True), 1):
             inside = at + n <= end[at]
             at, h = at[inside], h[inside]
             if not len(at):
@@ -132,8 +133,13 @@ class PrefixCounter:
                 h = (h ^ codes[at + n - 1]) * np.uint64(_MULT) ^ (h >> np.uint64(29))
             if len(hashes):
                 k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                hit = hashes[k] == h
-                found.append((at[hit], np.full(int(hit.sum()), n), numbers[k[hit]]))
+                hit = np.flatnonzero(hashes[k] == h)
+                place, k = at[hit], k[hit]
+                # A hash only proposes; the bytes decide.
+                same = (codes[place[:, None] + np.arange(n)] == spelt[k]).all(axis=1)
+                if not same.all():
+                    place, k = place[same], k[same]
+                found.append((place, np.full(len(place), n), numbers[k]))
             if not len(starts):
                 break
             on = starts[np.minimum(np.searchsorted(starts, h), len(starts) - 1)] == h
