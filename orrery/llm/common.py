@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.operators.components import TRACKED
 from orrery.session import cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -12,8 +13,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 #: Rows of a range partition, of narrow rows.
 RANGE_ROWS = 4_000_000
-#: Frequent keys hold at least 1/TRACKED of all rows, so there are at most TRACKED of them.
-TRACKED = 4096
 
 
 def text_of(column: str) -> Column:
@@ -47,21 +46,6 @@ def frequent(df: DataFrame, key: str, tracked: int = TRACKED, groups: int = 64)
     return found.select(F.col("x.item").alias(key))
 
 
-def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, tracked: int = TRACKED) -> DataFrame:
-    """rows joined with keyed, which has each key once, with the number of rows that have it in column ``count``.
-
-    Keys with at least 1/tracked of all rows, so at most tracked of them, are broadcast; the rows of others are
-    shuffled, and no key among these has many rows. Rows whose key is not in keyed go. Both are read twice.
-    """
-    total = F.broadcast(keyed.agg(F.sum(count).alias("all_rows")))
-    marked = keyed.join(total).withColumn("is_hot", F.col(count) * tracked >= F.col("all_rows")).drop("all_rows")
-    hot, cold = (marked.where(c).drop("is_hot", count) for c in ("is_hot", "NOT is_hot"))
-    own = [c for c in keyed.columns if c not in (count, *keys)]
-    out = [*rows.columns, *own]
-    there = rows.join(F.broadcast(hot), keys).select(*out)
-    return there.unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys).select(*out))
-
-
 def keep_smallest(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     """docs whose id is the ``component_id`` of some row of found (id_col, component_id); columns as they were.
 

@@ -35,8 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.blocks import chunk_size, whole_units
-from orrery.llm.common import join_counted
-from orrery.llm.components import connected_components
+from orrery.operators.components import connected_components, join_counted
 from orrery.session import cut, store
 
 THRESHOLD, TABLES, HASHES, SEED, BLOCK, MOST = 0.93, 6, 2, 77, 128, 4096

@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import LOWER, UPPER, join_counted, keep_smallest
-from orrery.llm.components import connected_components
+from orrery.llm.common import LOWER, UPPER, keep_smallest
+from orrery.operators.components import connected_components, join_counted
 from orrery.session import cut
 
 WORDS, SEED, RADIUS, SMALL = 3, 42, 2, 64

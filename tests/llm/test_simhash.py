@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from orrery.llm import simhash
-from orrery.llm.components import connected_components
+from orrery.operators.components import connected_components
 
 
 def brute_print(text):
