@@ -279,10 +279,15 @@ class Vocabulary:
         """First states of the units' lattices, all kept."""
         if self.n_states > STATES:
             self.reset()
-        new = [u for u in dict.fromkeys(units) if u not in self.start]
-        self.add_all([u for u in new if len(u) <= SHORT])
-        self.add_all([u for u in new if len(u) > SHORT])
-        return np.fromiter(map(self.start.__getitem__, units), dtype=np.int64, count=len(units))
+        got = list(map(self.start.get, units))
+        missing = [i for i, s in enumerate(got) if s is None]
+        if missing:
+            new = list(dict.fromkeys(units[i] for i in missing))
+            self.add_all([u for u in new if len(u) <= SHORT])
+            self.add_all([u for u in new if len(u) > SHORT])
+            for i in missing:
+                got[i] = self.start[units[i]]
+        return np.array(got, dtype=np.int64)
 
     def _room(self, states: int, arcs: int) -> None:
         while self.n_states + states + 1 > len(self.first):
@@ -513,17 +518,16 @@ def top_k(vocab: Vocabulary, texts: list[str | None], keys: np.ndarray, k: int =
     owner = np.repeat(np.arange(len(texts)), count)
     key = keys[owner]
     place = np.arange(len(flat)) - starts[owner]
-    short = np.flatnonzero(size <= SHORT)
-    long = np.flatnonzero(size > SHORT).tolist()
+    is_short = size <= SHORT
 
-    def draw(number: int) -> _Paths:
-        if not long:
-            return _Paths(*vocab.sample(state, key, number, place))
+    def draw(number: int, wanted: np.ndarray) -> _Paths:
+        """A segmentation of each unit that is wanted."""
+        short = np.flatnonzero(wanted & is_short)
         some, weight = vocab.sample(state[short], key[short], number, place[short])
         arcs, logp = np.full((len(flat), some.shape[1]), -1, dtype=np.int32), np.zeros(len(flat))
         arcs[short], logp[short] = some, weight
         kept = {}
-        for u in long:
+        for u in np.flatnonzero(wanted & ~is_short).tolist():
             kept[u] = np.array(vocab.sample_one(int(state[u]), None, _Random(int(key[u]), number, int(place[u]))), dtype=np.int64)
             logp[u] = vocab.logp[kept[u]].sum()
         return _Paths(arcs, logp, kept)
@@ -537,7 +541,14 @@ def top_k(vocab: Vocabulary, texts: list[str | None], keys: np.ndarray, k: int =
     made: list[_Paths] = []
     for number in range(k):
         popped = [heapq.heappop(queue[d]) if queue[d] else None for d in range(n)]
-        paths = draw(number)
+        # What a subset shares with its parent, and the unit in which it differs, are not drawn here.
+        wanted = np.ones(len(flat), dtype=bool)
+        for d, item in enumerate(popped):
+            if item is None:
+                wanted[starts[d] : ends[d]] = False
+            elif item[4] is not None:
+                wanted[starts[d] : item[2] + 1] = False
+        paths = draw(number, wanted)
         for d, item in enumerate(popped):
             if item is None or item[4] is None:
                 continue
@@ -547,10 +558,9 @@ def top_k(vocab: Vocabulary, texts: list[str | None], keys: np.ndarray, k: int =
             paths.widen(width)
             paths.arcs[low:j] = -1
             paths.arcs[low:j, :width], paths.logp[low:j] = made[parent].arcs[low:j], made[parent].logp[low:j]
-            for u in [u for u in paths.long if low <= u < j]:
-                paths.long[u] = made[parent].long[u]
+            paths.long |= {u: p for u, p in made[parent].long.items() if low <= u < j}
             row = vocab.sample_one(int(state[j]), _Excluded(vocab, int(state[j]), excluded), _Random(int(keys[d]), number, j - low))
-            if j in paths.long:
+            if not is_short[j]:
                 paths.long[j] = np.array(row, dtype=np.int64)
             else:
                 paths.widen(len(row))
