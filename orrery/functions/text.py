@@ -97,8 +97,8 @@ def normalise_link(c: Column) -> Column:
 
 
 def concepts(c: Column) -> Column:
-    """Back-ticked, bold, CamelCase, headings and 'Term (' of 3 to 99 characters, sorted."""
-    patterns = [r"`([^`\n]+)`", r"\*\*([^*\n]+)\*\*", r"\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b", r"(?m)^#{1,6}\s+(.+)$", r"\b([A-Z][A-Za-z]+) \("]
+    """Back-ticked, bold, italic, CamelCase, headings and 'Term (' of 3 to 99 characters, sorted."""
+    patterns = [r"`([^`\n]+)`", r"\*\*([^*\n]+)\*\*", r"(?<![*\w])\*([^*\n]+)\*(?![*\w])", r"(?<!\w)_([^_\n]+)_(?!\w)", r"\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b", r"(?m)^#{1,6}\s+(.+)$", r"\b([A-Z][A-Za-z]+) \("]
     found = F.concat(*[F.regexp_extract_all(c, F.lit(p), 1) for p in patterns])
     clean = F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: (F.length(x) > 2) & (F.length(x) < 100))
     return F.sort_array(F.array_distinct(clean))

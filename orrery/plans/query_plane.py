@@ -9,7 +9,7 @@ import re
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.plans.model import Release, digest, topological
@@ -129,14 +129,21 @@ def check_cap(rows: list, most: int) -> list:
     return rows
 
 
-#: How a read-only query may begin, and words that it may not hold.
+#: How a read-only query may begin, and words that may not stand as a clause of it.
 READ_STARTS = {"sql": ("select", "with"), "sparql": ("select", "ask", "construct", "describe", "prefix", "base"), "cypher": ("match", "optional match", "return", "with", "unwind", "call")}
-WRITE_WORDS = ("insert", "update", "delete", "drop", "create", "alter", "merge", "set", "remove", "load", "clear", "copy", "move", "add", "truncate", "replace", "grant", "revoke", "attach", "pragma", "detach")
+WRITE_WORDS = {
+    "sql": ("insert", "update", "delete", "drop", "create", "alter", "merge", "truncate", "grant", "revoke", "attach", "pragma", "detach"),
+    "sparql": ("insert", "delete", "load", "clear", "drop", "create", "add", "move", "copy"),
+    "cypher": ("create", "delete", "detach", "set", "remove", "merge", "drop", "load", "foreach"),
+}
 
 
 def guard_read_only(text: str, language: str = "sql") -> str:
-    """refuses what is not one balanced reading statement. Quoted strings and comments don't count."""
-    bare = re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|--[^\n]*|/\*.*?\*/", " ", text, flags=re.S).strip().rstrip(";").strip()
+    """refuses what is not one balanced reading statement. Quoted strings and comments don't count.
+
+    A word counts only as a clause: not as a function's name, a part of a dotted or quoted name, a prefix or a variable.
+    """
+    bare = re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", " ", text, flags=re.S).strip().rstrip(";").strip()
     low = re.sub(r"<[^>\s]*>", " ", bare.lower()) if language == "sparql" else bare.lower()
     if not low.startswith(READ_STARTS[language]):
         raise ValueError("not a reading query")
@@ -145,12 +152,27 @@ def guard_read_only(text: str, language: str = "sql") -> str:
     for a, b in ("()", "[]", "{}"):
         if low.count(a) != low.count(b):
             raise ValueError("brackets don't match")
-    bad = [w for w in WRITE_WORDS if re.search(rf"\b{w}\b", low)]
+    bad = [w for w in WRITE_WORDS[language] if re.search(rf"(?<![\w.?$:]){w}\b(?!\s*[(.:,=<>+*/-]|\s+(?:from|as|is|in|and|or|between|like)\b|\s*$)", low)]
     if bad:
         raise ValueError(f"not allowed: {bad}")
     return text
 
 
+def guard_plan(spark: SparkSession, text: str) -> str:
+    """F11 for SQL that Spark is to run: its parsed plan may hold no command and no write."""
+    guard_read_only(text)
+    jvm = spark.sparkContext._jvm
+    kinds = [jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{k}") for k in ("Command", "ParsedStatement")]
+    todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(text)]
+    while todo:
+        node = todo.pop()
+        if any(k.isInstance(node) for k in kinds):
+            raise ValueError(f"not a reading plan: {node.nodeName()}")
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return text
+
+
 def render(template: str, values: dict[str, Any]) -> str:
     """Fill ${name}; a name without value, or one that stays, is an error."""
     names = re.findall(r"\$\{(\w+)\}", template)

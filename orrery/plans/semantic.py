@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from orrery.plans.model import Release, Resource, digest, guard_identifier
 
+#: Filter operators, their SQL, and aggregations.
 OPERATORS = ("eq", "ne", "gt", "gte", "lt", "lte", "in")
 SQL_OPERATORS = {"eq": "=", "ne": "<>", "gt": ">", "gte": ">=", "lt": "<", "lte": "<="}
 AGGREGATIONS = ("sum", "count", "avg", "min", "max", "count_distinct")

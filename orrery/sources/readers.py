@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -37,16 +39,44 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return out.select("path", "index", record.alias("record"))
 
 
+_SQL_TOKEN = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|--[^\n]*|/\*.*?\*/|;|[^;'\"`/-]+|.", re.S)
+_SQL_INSERT = re.compile(r"(?is)^\s*insert\s+into\s+([\w.`\"]+)\s*(?:\(([^)]*)\))?\s*values\s*(.*)$")
+
+
+def sql_statements(text: str) -> Iterator[str]:
+    """Statements between semicolons that stand in no string; comments go."""
+    held: list[str] = []
+    for m in _SQL_TOKEN.finditer(text):
+        if m[0] == ";":
+            yield "".join(held).strip()
+            held = []
+        elif not m[0].startswith(("--", "/*")):
+            held.append(m[0])
+    yield "".join(held).strip()
+
+
+def sql_records(text: str) -> list[tuple[str, list[str] | None, str]]:
+    """(table, columns, values) of each INSERT; without any, (first table, None, text) of each SELECT."""
+    statements = [s for s in sql_statements(text) if s]
+    found = [m for m in map(_SQL_INSERT.match, statements) if m]
+    if found:
+        bare = lambda name: re.sub('[`"]', "", name.strip())
+        return [(bare(m[1]), None if m[2] is None else [bare(c) for c in m[2].split(",")], m[3].strip()) for m in found]
+    first = lambda s: (m[1] if (m := re.search(r"(?is)\bfrom\s+([\w.]+)", s)) else "")
+    return [(first(s), None, s) for s in statements if s.lower().startswith("select")]
+
+
 def read_sql_dump(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """S3: (table, columns, values_sql) of each INSERT; a text without one gives its SELECTs with their first table."""
-    insert = r"(?is)insert\s+into\s+([\w.`\"]+)\s*\(([^)]*)\)\s*values\s*(.*?);"
-    has = F.col(text_col).rlike(insert)
-    statements = F.when(has, F.regexp_extract_all(text_col, F.lit(r"(?is)(insert\s+into\s+[\w.`\"]+\s*\([^)]*\)\s*values\s*.*?;)"), 1)).otherwise(F.regexp_extract_all(text_col, F.lit(r"(?is)(select\b.*?(?:;|$))"), 1))
-    out = texts.select(has.alias("has"), F.explode(statements).alias("s"))
-    part = lambda i: F.trim(F.regexp_extract("s", insert, i))
-    name = F.when(F.col("has"), F.regexp_replace(part(1), '[`"]', "")).otherwise(F.regexp_extract("s", r"(?is)\bfrom\s+([\w.]+)", 1))
-    columns = F.when(F.col("has"), F.transform(F.split(part(2), ","), lambda c: F.regexp_replace(F.trim(c), '[`"]', "")))
-    return out.select(name.alias("table"), columns.alias("columns"), F.when(F.col("has"), part(3)).otherwise(F.trim("s")).alias("values_sql"))
+    """S3: (table, columns, values_sql) of each INSERT, with or without a list of columns; a text without one gives its
+    SELECTs with their first table. Semicolons and brackets in strings don't count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [r for t in batch.column(0) for r in sql_records(t.as_py() or "")]
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.list_(pa.string()), pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["table", "columns", "values_sql"])
+
+    return texts.select(F.col(text_col).cast("string")).mapInArrow(run, "table string, columns array<string>, values_sql string")
 
 
 def read_audit(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -103,8 +133,9 @@ def table_connector(spark: SparkSession, url: str, name: str, key: str, parts: i
 class JsonPages(DataSource):
     """Pages of {records, next_cursor} from an endpoint, as ``spark.read.format("json_pages")``.
 
-    Options: endpoint with {cursor} in it, cursor (first), and pages (the most that one read follows; the last row's
-    next_cursor tells where to go on). The pages of a chain can only be fetched one after the other.
+    Options: endpoint with {cursor} in it, cursor (first), and pages (the most that one read follows, all if it is not
+    given; the last row's next_cursor tells where to go on). The pages of a chain can only be fetched one after the
+    other. A cursor that comes back is an error, as the chain would never end.
     """
 
     @classmethod
@@ -126,8 +157,12 @@ class _JsonPagesReader(DataSourceReader):
         return [InputPartition(0)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple[str, str | None]]:
-        cursor = self.options.get("cursor", "")
-        for _ in range(int(self.options.get("pages", "1000"))):
+        cursor, seen = self.options.get("cursor", ""), set()
+        most = self.options.get("pages")
+        while most is None or len(seen) < int(most):
+            if cursor in seen:
+                raise ValueError(f"cursor {cursor!r} comes back")
+            seen.add(cursor)
             with urllib.request.urlopen(self.options["endpoint"].replace("{cursor}", cursor), timeout=30) as answer:
                 page = json.load(answer)
             following = page.get("next_cursor")
@@ -167,7 +202,6 @@ XSD_TYPES = {
 
 def schema_to_ontology(tables: dict[str, DataFrame], foreign_keys: dict[tuple[str, str], str] | None = None) -> list[dict[str, str]]:
     """A class for a table, a datatype property for a column, an object property for a foreign key."""
-    import re
 
     def pascal(name: str) -> str:
         return "".join(w.capitalize() for w in re.sub("^(tbl_|table_|t_)", "", name.lower()).split("_"))

@@ -42,27 +42,39 @@ def html_report(df: DataFrame) -> DataFrame:
     return df.select(F.concat(F.lit("<tr>"), *[cell(c) for c in df.columns], F.lit("</tr>")).alias("value"))
 
 
-def concept_bundle(nodes: DataFrame, edges: DataFrame, most_links: int = 10_000) -> DataFrame:
-    """(path, content): a Markdown page with front matter a node; equal names get a number. Links are in order.
+def concept_bundle(nodes: DataFrame, edges: DataFrame, page_links: int = 10_000) -> DataFrame:
+    """(path, content): a Markdown page with front matter for each node, with its links out and in, in order; an
+    index by type, and a log. Equal names get a number.
 
-    A node's page is one row; of a hub's links the first ``most_links`` go on the page and a line tells how many
-    others there are.
+    A page holds at most ``page_links`` links. A hub's others are on pages of their own (name.2.md, ...), each named on the
+    first page, so none is lost and no row grows with a hub; the index is cut in the same way.
     """
     from pyspark.sql import Window
 
     slug = F.regexp_replace(F.regexp_replace(F.lower("label"), "[^a-z0-9一-鿿]+", "-"), "^-+|-+$", "")
+    slug = F.when(slug == "", "page").otherwise(slug)
     same = F.row_number().over(Window.partitionBy("slug").orderBy("id"))
     named = nodes.withColumn("slug", slug).withColumn("k", same)
-    named = named.withColumn("path", F.concat("slug", F.when(F.col("k") > 1, F.concat(F.lit("-"), "k")).otherwise(""), F.lit(".md")))
-    target = named.select(F.col("id").alias("dst"), F.col("path").alias("to"), F.col("label").alias("to_label"))
-    ranked = edges.join(target, "dst").withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("relation", "to")))
-    links = ranked.groupBy("src").agg(
-        F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.when(F.col("r") <= most_links, F.struct("r", F.concat(F.lit("- "), "relation", F.lit(": ["), "to_label", F.lit("]("), "to", F.lit(")")).alias("l"))))).alias("links")
-    )
-    j = named.join(links, named["id"] == links["src"], "left")
-    others = F.when(F.col("n") > most_links, F.concat(F.lit("\n- and "), F.col("n") - most_links, F.lit(" others"))).otherwise("")
-    text = F.concat(F.lit("---\ntype: "), "type", F.lit("\ntitle: "), "label", F.lit("\n---\n\n"), F.coalesce(F.array_join(F.transform("links", lambda x: x["l"]), "\n"), F.lit("")), F.coalesce(others, F.lit("")), F.lit("\n"))
-    return j.select("path", text.alias("content"))
+    named = named.withColumn("base", F.concat("slug", F.when(F.col("k") > 1, F.concat(F.lit("-"), "k")).otherwise("")))
+    page = lambda base, n: F.concat(F.col(base), F.when(F.col(n) > 1, F.concat(F.lit("."), n)).otherwise(""), F.lit(".md"))
+    ends = named.select("id", F.col("base").alias("to"), F.col("label").alias("to_label"))
+    out = edges.join(ends.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), F.lit(0).alias("way"), "relation", "to", "to_label")
+    into = edges.join(ends.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), F.lit(1).alias("way"), "relation", "to", "to_label")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("way", "relation", "to", "to_label"))
+    line = F.concat(F.lit("- "), F.when(F.col("way") == 1, "from ").otherwise(""), "relation", F.lit(": ["), "to_label", F.lit("]("), "to", F.lit(".md)"))
+    ranked = out.unionByName(into).withColumn("r", rank).withColumn("n", F.ceil(F.col("r") / page_links).cast("int"))
+    links = ranked.groupBy("id", "n").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", line.alias("l")))), lambda x: x["l"]), "\n").alias("links"))
+    first = named.join(links.where("n = 1").select("id", "links"), "id", "left").join(links.groupBy("id").agg(F.max("n").alias("pages")), "id", "left")
+    more = F.when(F.col("pages") > 1, F.array_join(F.transform(F.sequence(F.lit(2), F.col("pages")), lambda i: F.concat(F.lit("- more: ["), i, F.lit("]("), "base", F.lit("."), i, F.lit(".md)"))), "\n"))
+    head = F.concat(F.lit("---\ntype: "), "type", F.lit("\ntitle: "), "label", F.lit("\n---\n\n"))
+    text = F.concat(head, F.concat_ws("\n", "links", more), F.lit("\n"))
+    pages = first.select(F.concat("base", F.lit(".md")).alias("path"), text.alias("content"))
+    rest = links.where("n > 1").join(named, "id").select(page("base", "n").alias("path"), F.concat(head, "links", F.lit("\n")).alias("content"))
+    listed = named.withColumn("r", F.row_number().over(Window.partitionBy("type").orderBy("base"))).withColumn("n", F.ceil(F.col("r") / page_links).cast("int"))
+    index = listed.groupBy("type", "n").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("base", F.concat(F.lit("- ["), "label", F.lit("]("), "base", F.lit(".md)")).alias("l")))), lambda x: x["l"]), "\n").alias("l"))
+    index = index.withColumn("base", F.concat(F.lit("index/"), "type")).select(page("base", "n").alias("path"), F.concat(F.lit("# "), "type", F.lit("\n\n"), "l", F.lit("\n")).alias("content"))
+    log = nodes.agg(F.count(F.lit(1)).alias("a")).join(edges.agg(F.count(F.lit(1)).alias("b"))).select(F.lit("log.md").alias("path"), F.format_string("- wrote %d concepts and %d relations\n", "a", "b").alias("content"))
+    return pages.unionByName(rest).unionByName(index).unionByName(log)
 
 
 def compiled_artifacts(resources: DataFrame, targets: dict[str, list[str]]) -> DataFrame:
