@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from orrery.session import cut
 
+#: Rounds after which a union of what they found is written as one table.
+ROUNDS = 8
 ATOM = re.compile(r"^\s*(not\s+)?([A-Za-z_][\w:-]*)\s*\((.*)\)\s*$", re.S)
 
 
@@ -96,12 +98,27 @@ def _bound(atom: Atom, facts: DataFrame) -> DataFrame:
     return out.select(*[F.col(f"t{i}").alias(f"v_{t}") for t, i in first.items()]) if first else out.select(F.lit(1).alias("v__any")).limit(1)
 
 
+def connected_order(wanted: list[set[str]]) -> list[int]:
+    """An order in which each set of variables meets those before it, where there is one; else as written."""
+    out, left, seen = [], list(range(len(wanted))), set()
+    while left:
+        at = next((i for i in left if not out or wanted[i] & seen), left[0])
+        left.remove(at)
+        out.append(at)
+        seen |= wanted[at]
+    return out
+
+
 def body_bindings(body: tuple[Atom, ...], relations: list[DataFrame]) -> DataFrame:
-    """Bindings of the variables; relations are the facts of each atom."""
+    """Bindings of the variables; relations are the facts of each atom.
+
+    Atoms are joined in an order in which each shares a variable with those before it. Only a body whose parts share none
+    has a product, which its rule asks for.
+    """
     positive = [(a, r) for a, r in zip(body, relations, strict=True) if not a.negated]
     out = None
-    for a, r in positive:
-        b = _bound(a, r)
+    for i in connected_order([{t for t in a.terms if is_variable(t)} for a, _ in positive]):
+        b = _bound(*positive[i])
         if out is None:
             out = b
             continue
@@ -139,7 +156,9 @@ def infer(spark: SparkSession, program: str, facts: dict[str, DataFrame], proofs
         active = [r for r in rules if level[r.head.predicate] == stratum]
         heads = {r.head.predicate for r in active}
         delta: dict[str, DataFrame] | None = None
+        number = 0
         while active:
+            number += 1
             found: dict[str, list[DataFrame]] = {}
             for r in active:
                 recursive = [i for i, a in enumerate(r.body) if not a.negated and a.predicate in heads]
@@ -159,7 +178,9 @@ def infer(spark: SparkSession, program: str, facts: dict[str, DataFrame], proofs
             if not fresh:
                 break
             for p, new in fresh.items():
-                known[p] = cut(known[p].unionByName(new.drop("rule_id")))
+                known[p] = known[p].unionByName(new.drop("rule_id"))
+                # The new facts are cut; their union with the others is only now and then.
+                known[p] = cut(known[p]) if number % ROUNDS == 0 else known[p]
                 why[p] = new if p not in why else why[p].unionByName(new)
             delta = {p: d.drop("rule_id") for p, d in fresh.items()}
             if not any(a.predicate in heads and not a.negated for r in active for a in r.body):
@@ -173,6 +194,35 @@ def infer(spark: SparkSession, program: str, facts: dict[str, DataFrame], proofs
     return out
 
 
+def extend(spark: SparkSession, program: str, known: dict[str, DataFrame], new: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Facts that are closed under a program without negation, and new ones: (all facts, those that were not known).
+
+    Semi-naive from the new facts on: a rule runs only with a new fact in one of its places.
+    """
+    rules = parse(program)
+    if any(a.negated for r in rules for a in r.body):
+        raise ValueError("with negation a new fact may undo old ones")
+    arity = {a.predicate: len(a.terms) for r in rules for a in (r.head, *r.body)}
+    known = {p: known.get(p, empty(spark, n)) for p, n in arity.items()}
+    fresh = {p: empty(spark, n) for p, n in arity.items()}
+    found = {p: d.select(*[F.col(c).cast("string").alias(f"t{i}") for i, c in enumerate(d.columns)]).distinct() for p, d in new.items() if p in arity}
+    while found:
+        delta = {}
+        for p, d in found.items():
+            d = cut(d.join(known[p], [f"t{i}" for i in range(arity[p])], "left_anti"))
+            if not d.isEmpty():
+                delta[p] = d
+                known[p], fresh[p] = cut(known[p].unionByName(d)), cut(fresh[p].unionByName(d))
+        parts: dict[str, list[DataFrame]] = {}
+        for r in rules:
+            for i, a in enumerate(r.body):
+                if a.predicate in delta:
+                    relations = [delta[a.predicate] if j == i else known[b.predicate] for j, b in enumerate(r.body)]
+                    parts.setdefault(r.head.predicate, []).append(_head(r, body_bindings(r.body, relations)))
+        found = {p: reduce(DataFrame.unionByName, ds).distinct() for p, ds in parts.items()}
+    return known, fresh
+
+
 def fold(changes: DataFrame) -> DataFrame:
     """The facts that stand after all changes, by effective time and change id, whatever order they arrive in.
 

@@ -6,11 +6,15 @@ orderable type.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.operators.components import connected_components
 from orrery.session import cut
 
+#: Rounds after which a union of what they found is written as one table.
+ROUNDS = 8
+
 
 def degrees(edges: DataFrame) -> DataFrame:
     """G1: in, out and total degree of every node with an edge, in one aggregation."""
@@ -32,19 +36,8 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds, logarithmic in a component's size; narrow rows only.
     """
-    e = edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()
-    e, before = cut(e), None
-    while True:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        e = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = e.groupBy("a").agg(F.min("b").alias("m"))
-        e = e.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        e = cut(e)
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            return nodes.select("id").join(e.select(F.col("a").alias("id"), F.col("b").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-        before = now
+    found = connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return nodes.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, k: int | None = None, block: int = 5) -> DataFrame:
@@ -93,12 +86,16 @@ def distances(edges: DataFrame, sources: DataFrame, max_depth: int | None = None
         front = cut(nxt.withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
+        # The front is cut; its union with the others is only now and then.
+        seen = cut(seen.unionByName(front)) if depth % ROUNDS == 0 else seen.unionByName(front)
     return seen
 
 
 def closeness(nodes: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
-    """In-distance closeness of ``targets`` with the Wasserman-Faust factor."""
+    """In-distance closeness of ``targets`` with the Wasserman-Faust factor.
+
+    It holds a row for each target and node that reaches it, so ``targets`` should be few on a large connected graph.
+    """
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     total = F.broadcast(nodes.agg(F.count(F.lit(1)).alias("n")))
     reach = distances(back, targets).groupBy("root").agg(F.sum("depth").alias("sum"), (F.count(F.lit(1)) - 1).alias("r"))
@@ -184,7 +181,10 @@ def all_paths(edges: DataFrame, source, target, max_depth: int = 5) -> DataFrame
 
 
 def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(src, dst, depth): every node that src reaches by at least one edge, with the least depth. Semi-naive."""
+    """(src, dst, depth): every node that src reaches by at least one edge, with the least depth. Semi-naive.
+
+    The result has a row for each pair, so it can grow with the square of a connected part.
+    """
     e = cut(edges.select("src", "dst").distinct())
     seen = cut(e.withColumn("depth", F.lit(1)))
     front, depth = seen, 1
@@ -194,7 +194,8 @@ def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
         front = cut(step.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
+        # The front is cut; its union with the others is only now and then.
+        seen = cut(seen.unionByName(front)) if depth % ROUNDS == 0 else seen.unionByName(front)
     return seen
 
 
@@ -247,18 +248,118 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return both.distinct()
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """Every node takes the commonest label around it (the least of equals) until none changes."""
+def _undirected(edges: DataFrame) -> DataFrame:
+    """(src, dst, w) in both directions; an edge that stands more than once counts as often."""
+    one = edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    return one.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), "w"), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), "w"))).alias("e")).select("e.*")
+
+
+def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
+    """Labels of which every node has one that is commonest around it.
+
+    A node whose label is not takes the greatest of the commonest ones. In a round only half of these nodes (by a hash of
+    id and round) move, so neighbours do not swap labels for ever, as they do on a bipartite graph when all move at once.
+    ``rounds`` is a guard: labels that are not settled by then are an error.
+    """
     both = cut(adjacency(edges.withColumn("relation", F.lit(""))).where("src <> dst").select("src", "dst"))
     labels = cut(nodes.select("id", F.col("id").alias("label")))
-    for _ in range(rounds):
+    for number in range(rounds):
         votes = both.join(labels, both["dst"] == labels["id"]).groupBy("src", "label").agg(F.count(F.lit(1)).alias("n"))
-        best = votes.groupBy("src").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("new"))
-        nxt = cut(labels.join(best, labels["id"] == best["src"], "left").select("id", F.coalesce("new", "label").alias("label"), F.col("label").alias("old")))
-        labels = nxt.drop("old")
-        if nxt.where("label <> old").isEmpty():
-            break
-    return labels
+        best = votes.groupBy("src").agg(F.max(F.struct("n", F.col("label").alias("new"))).alias("best"))
+        own = labels.join(best, labels["id"] == best["src"], "left").join(votes.select(F.col("src").alias("id"), "label", F.col("n").alias("mine")), ["id", "label"], "left")
+        now = cut(own.select("id", "label", F.col("best.new").alias("new"), (F.col("best.n") > F.coalesce("mine", F.lit(0))).alias("open")))
+        if now.where("open").isEmpty():
+            return now.select("id", "label")
+        moves = F.col("open") & (F.pmod(F.xxhash64(F.lit(number), "id"), F.lit(2)) == 0)
+        labels = cut(now.select("id", F.when(F.coalesce(moves, F.lit(False)), F.col("new")).otherwise(F.col("label")).alias("label")))
+    raise RuntimeError("the labels did not settle")
+
+
+def _coarse(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """links(src, dst, w) between labels; a label's inner weight stands in both directions, as (c, c)."""
+    j = links.join(labels.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(labels.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst")
+    return j.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w"))
+
+
+def _quality(links: DataFrame, labels: DataFrame, total: float, resolution: float) -> float:
+    c = _coarse(links, labels)
+    inner = F.sum(F.when(F.col("src") == F.col("dst"), F.col("w"))).alias("inner")
+    by = c.groupBy("src").agg(F.sum("w").alias("k"), inner)
+    return by.agg(F.sum(F.coalesce("inner", F.lit(0.0)) / total - resolution * F.pow(F.col("k") / total, 2))).first()[0] or 0.0
+
+
+def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, tolerance: float = 1e-7, rounds: int = 100) -> DataFrame:
+    """(id, label): communities by Louvain's method. Local moves until modularity grows by less than ``tolerance``,
+    then communities become nodes and it begins again, until nothing moves.
+
+    In a round the nodes of one half (by a hash of id and round) move to the neighbouring community of the largest gain,
+    if it is a gain; a round that loses modularity, as moves are made at once, is taken back.
+    """
+    links = cut(_undirected(edges))
+    whole = cut(nodes.select("id", F.col("id").alias("label")))
+    total = links.agg(F.sum("w")).first()[0]
+    if not total:
+        return whole
+    best = _quality(links, whole, total, resolution)
+    while True:
+        labels = cut(links.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
+        degree = cut(links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")))
+        start, misses = best, 0
+        for number in range(rounds):
+            mine = labels.join(degree, "id")
+            volume = mine.groupBy("label").agg(F.sum("k").alias("v"))
+            into = links.where("src <> dst").join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), F.col("label").alias("to")).agg(F.sum("w").alias("w"))
+            gain = into.join(mine, "id").join(volume.withColumnRenamed("label", "to"), "to")
+            # A node's own volume does not count against its own community.
+            other = F.col("v") - F.when(F.col("to") == F.col("label"), F.col("k")).otherwise(0.0)
+            gain = gain.select("id", "to", "label", (F.col("w") - resolution * F.col("k") * other / total).alias("g"))
+            stay = F.coalesce(F.max(F.when(F.col("to") == F.col("label"), F.col("g"))), F.lit(None).cast("double"))
+            choice = gain.groupBy("id").agg(F.max(F.struct("g", F.struct("to"))).alias("best"), stay.alias("stay"), F.first("label").alias("label"))
+            # A node none of whose neighbours is in its community gains that community's volume without it.
+            alone = choice.join(volume, "label").join(degree, "id").withColumn("stay", F.coalesce("stay", -resolution * F.col("k") * (F.col("v") - F.col("k")) / total))
+            moves = alone.where((F.col("best.g") > F.col("stay") + 1e-12) & (F.pmod(F.xxhash64(F.lit(number), "id"), F.lit(2)) == 0)).select("id", F.col("best.to.to").alias("new"))
+            tried = cut(labels.join(moves, "id", "left").select("id", F.coalesce("new", "label").alias("label")))
+            now = _quality(links, tried, total, resolution)
+            if now > best + tolerance:
+                labels, best, misses = tried, now, 0
+            else:
+                misses += 1
+                if misses == 4:  # both halves, twice, with other hashes
+                    break
+        if best <= start + tolerance:
+            return whole
+        whole = cut(whole.join(labels.select(F.col("id").alias("label"), F.col("label").alias("new")), "label", "left").select("id", F.coalesce("new", "label").alias("label")))
+        links = cut(_coarse(links, labels))
+
+
+def greedy_modularity(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, rounds: int = 1000) -> DataFrame:
+    """(id, label): communities by merging. In a round every community names the neighbour whose merger gains most
+    modularity (the least of equals); pairs that name each other merge, until no merger gains.
+
+    The pair of the largest gain of all always names each other, so a round makes the merger that the sequential method
+    would make, and others that do not touch it.
+    """
+    links = cut(_undirected(edges))
+    whole = cut(nodes.select("id", F.col("id").alias("label")))
+    total = links.agg(F.sum("w")).first()[0]
+    if not total:
+        return whole
+    for _ in range(rounds):
+        volume = links.groupBy("src").agg(F.sum("w").alias("k"))
+        pairs = links.where("src <> dst").join(volume, "src").join(volume.select(F.col("src").alias("dst"), F.col("k").alias("l")), "dst")
+        gain = pairs.select("src", "dst", (F.col("w") - resolution * F.col("k") * F.col("l") / total).alias("g")).where("g > 1e-12")
+        # Of equal gains the pair with the least ends, so that a cycle of equal wishes has one that is mutual.
+        ends = F.struct(-F.col("g"), F.least("src", "dst"), F.greatest("src", "dst"))
+        wish = cut(gain.groupBy("src").agg(F.min_by("dst", ends).alias("dst")))
+        back = wish.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
+        merged = cut(wish.join(back, ["src", "dst"]).where("src > dst"))
+        if merged.isEmpty():
+            return whole
+        labels = merged.select(F.col("src").alias("label"), F.col("dst").alias("new"))
+        whole = cut(whole.join(labels, "label", "left").select("id", F.coalesce("new", "label").alias("label")))
+        every = links.select(F.col("src").alias("id")).distinct().join(labels.withColumnRenamed("label", "id"), "id", "left").select("id", F.coalesce("new", "id").alias("label"))
+        links = cut(_coarse(links, every))
+    raise RuntimeError("mergers did not end")
 
 
 def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
@@ -273,9 +374,12 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return ends.join(inside, "label", "left").join(m).agg(F.sum(q).alias("modularity"))
 
 
-def communities(nodes: DataFrame, edges: DataFrame, top: int = 10) -> DataFrame:
+METHODS = {"louvain": louvain, "label_propagation": label_propagation, "greedy_modularity": greedy_modularity}
+
+
+def communities(nodes: DataFrame, edges: DataFrame, top: int = 10, method: str = "label_propagation") -> DataFrame:
     """Size, density, mean PageRank and the top members of each community, the largest first."""
-    labels = cut(label_propagation(nodes, edges))
+    labels = cut(METHODS[method](nodes, edges))
     ranks = pagerank(nodes, edges)
     members = labels.join(ranks, "id")
     best = members.withColumn("__r", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("rank"), "id"))).where(F.col("__r") <= top)
@@ -305,15 +409,18 @@ def seeds(nodes: DataFrame, candidates: DataFrame, top: int = 5) -> DataFrame:
     """Nodes for entity candidates by the ladder 10 equal, 6 * len share (name holds candidate), 2 both ways short,
     5 * len share (candidate holds name); at least 2; ``top`` nodes.
 
-    ``candidates`` (column c) come from one question, so they are few; they are turned into literals of one scan.
+    ``candidates`` (column c) come from one question. They are gathered to one row, which goes to every task, and each
+    node is scored against all of them in its row.
     """
-    score = F.lit(0.0)
-    name = F.lower("label")
-    for row in candidates.limit(200).collect():
-        c = row["c"].lower()
-        part = F.when(name == c, 10.0).when(name.contains(c), F.greatest(F.lit(2.0), 6.0 * len(c) / F.length(name))).when(F.lit(c).contains(name) & (F.length(name) > 1), 5.0 * F.length(name) / max(1, len(c))).otherwise(0.0)
-        score = F.greatest(score, part)
-    return nodes.select("id", score.alias("score")).where("score >= 2").orderBy(F.desc("score"), "id").limit(top)
+    gathered = F.broadcast(candidates.select(F.lower("c").alias("c")).where("c <> ''").agg(F.collect_set("c").alias("cs")))
+    name, size = F.lower("label"), F.length("label")
+
+    def ladder(c: Column) -> Column:
+        # The ladder's numbers.
+        return F.when(name == c, 10.0).when(name.contains(c), F.greatest(F.lit(2.0), 6.0 * F.length(c) / size)).when(c.contains(name) & (size > 1), 5.0 * size / F.greatest(F.lit(1), F.length(c))).otherwise(0.0)
+
+    score = F.aggregate(F.transform("cs", ladder), F.lit(0.0), lambda a, b: F.greatest(a, F.coalesce(b, F.lit(0.0))))
+    return nodes.select("id", "label").join(gathered).select("id", score.alias("score")).where("score >= 2").orderBy(F.desc("score"), "id").limit(top)
 
 
 def domain_rollup(is_a: DataFrame, domains: DataFrame, edges: DataFrame) -> DataFrame:

@@ -86,6 +86,23 @@ def tf_cosine(docs: DataFrame, query: str, id_col: str, text_col: str, mention:
     return scored.where("dot > 0").select(id_col, F.round(F.col("dot") / F.sqrt(F.col("n2") * F.lit(float(norm_q))), 8).alias("score"))
 
 
+#: The search modes, and the kinds that each is restricted to (none: all).
+MODES = {"vector": (), "rag": (), "skill": ("ActionType", "Workflow", "Function")}
+
+
+def sparse_search(resources: DataFrame, query: str, mode: str = "vector", limit: int = 10) -> DataFrame:
+    """resources(resource_id, kind, name, text) by cosine, and at 0 those whose name the query mentions (X4) though they
+    share no word. By score and id."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode}")
+    some = resources.where(F.col("kind").isin(*MODES[mode])) if MODES[mode] else resources
+    low, text = F.lower("name"), F.lit(query.lower())
+    alone = F.regexp_like(text, F.concat(F.lit("(?<![a-z0-9_])\\Q"), low, F.lit("\\E(?![a-z0-9_])")))
+    named = some.where((F.length("name") > 0) & F.when(F.length("name") == F.octet_length("name"), alone).otherwise(text.contains(low)))
+    hits = tf_cosine(some, query, "resource_id", "text").unionByName(named.select("resource_id", F.lit(0.0).alias("score")))
+    return hits.groupBy("resource_id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "resource_id").limit(limit)
+
+
 def bm25(docs: DataFrame, query: str, id_col: str, text_col: str, n: int = 3, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Documents that hold all words (of n letters and more) of the query, scored by BM25 over the words' grams.
 
@@ -107,6 +124,33 @@ def bm25(docs: DataFrame, query: str, id_col: str, text_col: str, n: int = 3, k1
     return rows.where(match).join(F.broadcast(stats)).select(id_col, F.round(score, 6).alias("score"))
 
 
+def trigram_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Postings (gram, id, tf, len) of the lower-cased texts' trigrams, to be written once and searched often."""
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - 2))
+    grams = F.when(F.length(low) < 3, F.array().cast("array<string>")).otherwise(F.transform(at, lambda i: F.substring(low, i, F.lit(3))))
+    each = docs.select(F.col(id_col).alias("id"), F.explode(grams).alias("gram")).groupBy("id", "gram").agg(F.count(F.lit(1)).alias("tf"))
+    sizes = docs.select(F.col(id_col).alias("id"), F.greatest(F.length(low) - 2, F.lit(0)).alias("len"))
+    return each.join(sizes, "id").select("gram", "id", "tf", "len")
+
+
+def trigram_search(postings: DataFrame, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, score): rows that have every trigram of every word of the query (words of less than three letters don't
+    count), by BM25 over these trigrams. Only postings of the query's trigrams are read."""
+    grams = sorted({w[i : i + 3] for w in query.lower().split() if len(w) >= 3 for i in range(len(w) - 2)})
+    if not grams:
+        return postings.select("id", F.lit(0.0).alias("score")).limit(0)
+    sizes = postings.select("id", "len").distinct().agg(F.count(F.lit(1)).alias("total"), F.avg("len").alias("mean"))
+    some = postings.where(F.col("gram").isin(grams))
+    df = some.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    # One row a trigram of the query, and one row of sizes.
+    rows = some.join(F.broadcast(df), "gram").join(F.broadcast(sizes))
+    idf = F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
+    by = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(part).alias("score"))
+    return by.where(F.col("n") == len(grams)).select("id", F.round("score", 6).alias("score"))
+
+
 def contains_search(docs: DataFrame, needle: str, id_col: str, text_col: str, limit: int) -> DataFrame:
     """Case-free substring, by id."""
     return docs.where(F.lower(text_col).contains(needle.lower())).select(id_col).orderBy(id_col).limit(limit)
@@ -192,18 +236,27 @@ def bundle_search(pages: DataFrame, words: list[str], limit: int) -> DataFrame:
     return pages.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), "title").limit(limit)
 
 
-def hybrid(lists: DataFrame, offset: int, limit: int) -> DataFrame:
-    """Fuse, then the four layers in order, then the page. Layers 2 and 3 work on at most 100 fused hits."""
-    inner = min(2 * limit, 100)
-    fused = rrf(lists)
-    best = top_of_page(fused, [F.desc("score"), F.asc("key")]).orderBy(F.desc("score"), "key").limit(inner)
-    pos = Window.orderBy(F.desc("score"), "key")
-    hits = best.withColumn("pos", F.row_number().over(pos))
+def dedup_layers(fused: DataFrame) -> DataFrame:
+    """Fused hits (key, slug, type, chunk_text, score) through the four layers, with their place ``pos``.
+
+    The three best of a page; no text too like one before it; a type's share; two of a page.
+    """
     from orrery.session import cut
 
-    hits = cut(drop_similar(cut(hits)))
-    capped = top_of_page(type_cap(hits, [F.asc("pos")], hits.count()), [F.asc("pos")], PER_PAGE)
-    return capped.orderBy("pos").offset(offset).limit(limit).select("key", "slug", "type", "score")
+    best = top_of_page(fused, [F.desc("score"), F.asc("key")])
+    hits = cut(best.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), "key"))))
+    hits = cut(drop_similar(hits))
+    return top_of_page(type_cap(hits, [F.asc("pos")], hits.count()), [F.asc("pos")], PER_PAGE)
+
+
+def hybrid(lists: DataFrame, offset: int, limit: int) -> DataFrame:
+    """Each route's list to min(2 * limit, 100) hits, fused, then all four layers over every fused hit, then the page.
+
+    lists has ``list`` and ``rank`` (from 0). What is fused is bounded by that number and the number of routes.
+    """
+    inner = min(2 * limit, 100)
+    kept = dedup_layers(rrf(lists.where(F.col("rank") < inner)))
+    return kept.orderBy("pos").offset(offset).limit(limit).select("key", "slug", "type", "score")
 
 
 def with_provenance(hits: DataFrame, k: int = 600) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,15 +119,25 @@ def chain_faults(entries: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def build_chain(entries: DataFrame, key: str, order: str, payload: str) -> DataFrame:
-    """Hash chains, each folded in order. A chain is sequential by nature; chains run beside each other."""
-    w = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(payload).alias("p"))))
-    start = F.array().cast("array<struct<o:string,payload:string,previous_hash:string,hash:string>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        prev = F.coalesce(F.try_element_at(acc, F.lit(-1))["hash"], F.lit(""))
-        return F.concat(acc, F.array(F.struct(x["o"].cast("string").alias("o"), x["p"].alias("payload"), prev.alias("previous_hash"), F.sha2(F.concat(x["p"], prev), 256).alias("hash"))))
-
-    return entries.groupBy(key).agg(w.alias("e")).select(key, F.explode(F.aggregate("e", start, step)).alias("x")).select(key, F.col("x.o").alias(order), "x.payload", "x.previous_hash", "x.hash")
+    """Hash chains. A chain is sequential by nature: its entries go by in order, and only the last hash is held, so a
+    chain may have any length. Chains run beside each other. ``order`` comes back as text; a null payload counts as empty."""
+    kind = entries.schema[key].dataType.simpleString()
+    rows = entries.select(F.col(key).alias("k"), F.col(order).alias("at"), F.col(order).cast("string").alias("o"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("p"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, before = object(), ""
+        for batch in batches:
+            made: tuple[list, list] = [], []
+            for k, p in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                before = before if k == last else ""
+                last = k
+                made[0].append(before)
+                before = hashlib.sha256((p + before).encode()).hexdigest()
+                made[1].append(before)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *(pa.array(m, pa.string()) for m in made)], names=["k", "o", "payload", "previous_hash", "hash"])
+
+    dealt = rows.repartition("k").sortWithinPartitions("k", "at", "p").select("k", "o", "p")
+    return dealt.mapInArrow(run, f"k {kind}, o string, payload string, previous_hash string, hash string").select(F.col("k").alias(key), F.col("o").alias(order), "payload", "previous_hash", "hash")
 
 
 def current_query(messages: DataFrame, session: str, order: str) -> DataFrame:

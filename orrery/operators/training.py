@@ -73,7 +73,7 @@ def diversity(texts: DataFrame, id_col: str, text_col: str, sample: int = 100) -
 
     The sample is the operator's own bound; pairs come from one list against itself on at most ``sample`` rows.
     """
-    chosen = texts.orderBy(F.xxhash64(id_col), id_col).limit(sample).select(F.col(id_col).alias("a"), X.ngrams(F.lower(text_col), 3).alias("g"))
+    chosen = texts.orderBy(F.sha2(F.col(id_col).cast("string"), 256), id_col).limit(sample).select(F.col(id_col).alias("a"), X.ngrams(F.lower(text_col), 3).alias("g"))
     packed = chosen.agg(F.sort_array(F.collect_list(F.struct("a", "g"))).alias("all"))
     pairs = packed.select(F.posexplode("all").alias("i", "x"), "all").select("x", F.explode(F.slice("all", F.col("i") + 2, F.lit(sample))).alias("y"))
     return pairs.agg(F.round(F.coalesce(1 - F.avg(X.jaccard(F.col("x.g"), F.col("y.g"), 1.0)), F.lit(1.0)), 3).alias("diversity"))
@@ -85,8 +85,9 @@ def exact_split(samples: DataFrame, id_col: str, train: float = 0.8, val: float
     Cut points are found without sorting all rows in one task: rows are counted by 2^16 hash buckets, and only rows of
     the buckets in which a cut falls are ranked.
     """
-    h = F.xxhash64(F.lit(seed), F.col(id_col))
-    rows = samples.withColumn("__h", h).withColumn("__b", F.shiftrightunsigned(h, 48))
+    # 60 bits of a digest that any SQL engine can make again.
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), 1, 15), 16, 10).cast("long")
+    rows = samples.withColumn("__h", h).withColumn("__b", F.shiftrightunsigned(F.col("__h"), 44))
     w = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy("__b").agg(F.count(F.lit(1)).alias("c"))
     before = sizes.select("__b", "c", F.coalesce(F.sum("c").over(w), F.lit(0)).alias("start"))
@@ -178,7 +179,7 @@ def pipeline(parts: dict[str, DataFrame], total: int, seed: int = 42) -> DataFra
     each, out = max(1, total // max(1, len(parts))), None
     for name, df in sorted(parts.items()):
         one = df.select(F.lit(name).alias("generator"), "messages", F.sha2(F.to_json("messages"), 256).alias("key"))
-        one = one.where(sft_reason(F.col("messages")).isNull()).orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(each)
+        one = one.where(sft_reason(F.col("messages")).isNull()).orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), "key"), 256), "key").limit(each)
         out = one if out is None else out.unionByName(one)
     kept = out.groupBy("key").agg(F.min_by("generator", "generator").alias("generator"), F.min("messages").alias("messages"))
     return exact_split(kept, "key", seed=seed)

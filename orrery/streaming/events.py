@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -42,7 +43,8 @@ def idempotent(events: DataFrame, key: str = "event_id", ts: str = "ts", late: s
 def token_bucket(events: DataFrame, rate: float, burst: float, key: str = "user_id", idle: str = "1 hour") -> DataFrame:
     """(key, event_id, ts, allowed): a bucket of ``burst`` tokens that fills at ``rate`` a second, for each key.
 
-    On a stream the bucket is the key's state, which ends when the key is idle; in batch a key's events go by in order.
+    On a stream the bucket is the key's state, which ends when the key is idle; in batch a key's events go by in order,
+    and only its bucket is held, so a key may have any number of them.
     """
     schema = f"{key} long, event_id long, ts timestamp, allowed boolean"
 
@@ -58,7 +60,20 @@ def token_bucket(events: DataFrame, rate: float, burst: float, key: str = "user_
 
     src = events.select(key, "event_id", F.col("ts").cast("timestamp").alias("ts"))
     if not events.isStreaming:
-        return src.groupBy(key).applyInPandas(lambda f: take(f, burst, 0.0)[0], schema)
+
+        def go_by(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            bucket: tuple = (None, burst, 0.0)
+            for f in frames:
+                parts = []
+                for k, rows in f.groupby(key, sort=False, dropna=False):
+                    tokens, last = bucket[1:] if bucket[0] == k else (burst, 0.0)
+                    out, tokens, last = take(rows, tokens, last)
+                    bucket = (k, tokens, last)
+                    parts.append(out)
+                if parts:
+                    yield pd.concat(parts)
+
+        return src.repartition(key).sortWithinPartitions(key, "ts", "event_id").mapInPandas(go_by, schema)
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -77,23 +92,41 @@ def token_bucket(events: DataFrame, rate: float, burst: float, key: str = "user_
 
 
 def run_rules(spark: SparkSession, events: DataFrame, program: str, trigger: str, folder: str, to_facts: Callable[[DataFrame], dict[str, DataFrame]]) -> Any:
-    """For each micro-batch, facts so far, the fixed point, and only newly derived trigger facts to ``folder``/out.
+    """For each micro-batch only newly derived trigger facts go to ``folder``/out.
 
     Exactly once an event and a fact: batches write to folders of their own number, so a batch that runs again after
-    a failure overwrites its first try, and it reads only what earlier batches wrote.
+    a failure overwrites its first try, and it reads only what earlier batches wrote. A program without negation goes on
+    from all facts that the last batch knew, with the new ones alone as the first delta; one with negation, where a new
+    fact may undo derived ones, is inferred again from all events. Event ids are looked up in all earlier batches.
     """
-    from orrery.operators.datalog import infer
+    from orrery.operators.datalog import extend, infer, parse
+
+    rules = parse(program)
+    grows = not any(a.negated for r in rules for a in r.body)
+    arity = {a.predicate: len(a.terms) for r in rules for a in (r.head, *r.body)}
 
     def earlier(kind: str, batch: int) -> DataFrame | None:
         paths = [f"{folder}/{kind}/batch={b}" for b in range(batch)]
         return spark.read.parquet(*paths) if paths else None
 
+    def known(batch: int) -> dict[str, DataFrame]:
+        if not batch:
+            return {}
+        held = spark.read.parquet(f"{folder}/facts/batch={batch - 1}")
+        return {p: held.where(F.col("predicate") == p).select(*[F.col("terms")[i].alias(f"t{i}") for i in range(n)]) for p, n in arity.items()}
+
     def step(batch: DataFrame, number: int) -> None:
         seen = earlier("events", number)
         new = batch.dropDuplicates(["event_id"])
         if seen is not None:
             new = new.join(seen.select("event_id"), "event_id", "left_anti")
         new.write.mode("overwrite").parquet(f"{folder}/events/batch={number}")
+        if grows:
+            facts, fresh = extend(spark, program, known(number), to_facts(spark.read.parquet(f"{folder}/events/batch={number}")))
+            rows = [d.select(F.lit(p).alias("predicate"), F.array(*d.columns).alias("terms")) for p, d in facts.items() if p in arity]
+            reduce(DataFrame.unionByName, rows).write.mode("overwrite").parquet(f"{folder}/facts/batch={number}")
+            fresh[trigger].write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+            return
         every = spark.read.parquet(*[f"{folder}/events/batch={b}" for b in range(number + 1)])
         derived = infer(spark, program, to_facts(every))[trigger]
         before = earlier("out", number)
