@@ -33,9 +33,28 @@ def d11(spark, sf_dir):
     return rdf.sparql(triples(spark, sf_dir), q).select("name", F.col("balance").cast("double").alias("balance"))
 
 
-@add("d11_sparql_ask", "SELECT true AS answer")
+@add("d11_sparql_ask", "SELECT 'in 1' AS question, EXISTS (SELECT 1 FROM customer WHERE c_nationkey = 1) AS answer UNION ALL SELECT 'in 99', EXISTS (SELECT 1 FROM customer WHERE c_nationkey = 99)")
 def d11a(spark, sf_dir):
-    return rdf.sparql(triples(spark, sf_dir), "PREFIX e: <http://example.org/> ASK { ?c e:livesIn ?n }")
+    ask = lambda n: rdf.sparql(triples(spark, sf_dir), f"PREFIX e: <http://example.org/> ASK {{ ?c e:livesIn <{EX}nation/{n}> }}").select(F.lit(f"in {n}").alias("question"), "answer")
+    return ask(1).unionByName(ask(99))
+
+
+@add("d11_sparql_construct", "SELECT 'http://example.org/nation/' || c_nationkey AS s, 'http://example.org/homeOf' AS p, c_name AS o FROM customer WHERE c_acctbal > 5000 UNION SELECT 'http://example.org/nation/' || c_nationkey, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'http://example.org/Home' FROM customer WHERE c_acctbal > 5000")
+def d11c(spark, sf_dir):
+    return rdf.sparql(triples(spark, sf_dir), "PREFIX e: <http://example.org/> CONSTRUCT { ?n e:homeOf ?name ; a e:Home } WHERE { ?c e:livesIn ?n ; e:c_name ?name ; e:c_acctbal ?b . FILTER(?b > 5000) }")
+
+
+@add("d11_sparql_describe", "SELECT 'http://example.org/nation/' || n_nationkey AS s, unnest(['http://example.org/n_nationkey', 'http://example.org/n_name', 'http://example.org/n_regionkey']) AS p, unnest([n_nationkey::VARCHAR, n_name, n_regionkey::VARCHAR]) AS o FROM nation WHERE n_regionkey = 2 OR n_nationkey = 0")
+def d11d(spark, sf_dir):
+    t = triples(spark, sf_dir)
+    some = rdf.sparql(t, 'PREFIX e: <http://example.org/> DESCRIBE ?n WHERE { ?n e:n_regionkey "2" }')
+    return some.unionByName(rdf.sparql(t, f"DESCRIBE <{EX}nation/0>")).distinct()
+
+
+@add("d11_sparql_union", "SELECT n_name AS nation, count(*)::BIGINT AS n, max(c_acctbal) AS most FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY 1 ORDER BY n DESC, nation LIMIT 9")
+def d11u(spark, sf_dir):
+    q = 'PREFIX e: <http://example.org/> SELECT ?nation (COUNT(?c) AS ?n) (MAX(?b) AS ?most) WHERE { { ?c e:c_mktsegment "BUILDING" } UNION { ?c a e:MACHINERY } ?c e:livesIn ?x . ?c e:c_acctbal ?b . ?x e:n_name ?nation } GROUP BY ?nation ORDER BY DESC(?n) ?nation LIMIT 9'
+    return rdf.sparql(triples(spark, sf_dir), q)
 
 
 @add("d13_shapes", "SELECT 'http://example.org/customer/' || c_custkey AS focus, 'http://example.org/c_acctbal' AS path, 'minInclusive' AS component FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal < 0")
@@ -49,9 +68,13 @@ def j18(spark, sf_dir):
     return rdf.instances(triples(spark, sf_dir), EX + "Customer")
 
 
-@add("d14_functional", "SELECT 0::BIGINT AS n")
+@add("d14_functional", "SELECT 'o' || o_custkey AS s, 'status' AS p, count(DISTINCT o_orderstatus) AS n FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) > 1")
 def d14(spark, sf_dir):
-    return rdf.functional_conflicts(triples(spark, sf_dir), [EX + "c_name"]).agg(F.count(F.lit(1)).alias("n"))
+    """A customer should have one status over all orders, and most do not; each name stands once."""
+    o = table(spark, sf_dir, "orders")
+    row = lambda p, v: [F.concat(F.lit("o"), "o_custkey").alias("s"), F.lit(p).alias("p"), v.cast("string").alias("o")]
+    claims = o.select(*row("status", F.col("o_orderstatus"))).unionByName(o.select(*row("name", F.col("o_custkey")))).unionByName(o.select(*row("any", F.col("o_orderkey"))))
+    return rdf.functional_conflicts(claims, ["status", "name"])
 
 
 @add("s19_property_graph", "SELECT 'http://example.org/customer/' || c_custkey AS src, 'http://example.org/nation/' || c_nationkey AS dst FROM customer")

@@ -35,23 +35,23 @@ def x4(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", X.mentions(F.col("text"), "License").alias("m"))
 
 
-@add("x7_trigram_jaccard", """WITH g AS (SELECT item_id, list_distinct([substr(text, i::INT, 3) FOR i IN range(1, length(text) - 1)]) AS g FROM benchmark WHERE length(text) >= 3)
-    SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.g, b.g)) / len(list_distinct(a.g || b.g)), 6) AS j FROM g a JOIN g b ON b.item_id = a.item_id + 1""")
-def x7(spark, sf_dir):
-    g = table(spark, sf_dir, "benchmark").where("length(text) >= 3").select("item_id", X.ngrams(F.col("text"), 3).alias("g"))
-    b = g.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("b"), F.col("g").alias("h"))
-    return g.join(b, "item_id").select(F.col("item_id").alias("a"), "b", F.round(X.jaccard(F.col("g"), F.col("h")), 6).alias("j"))
+GRAMS = "list_distinct([substr({0}, i::INT, 3) FOR i IN range(1, length({0}) - 1)])"
 
 
-@add("x12_concepts", r"""SELECT page_id, len(list_distinct([trim(x) FOR x IN regexp_extract_all(html, '`([^`\n]+)`', 1) || regexp_extract_all(html, '\*\*([^*\n]+)\*\*', 1) || regexp_extract_all(html, '\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b', 1)
-    || regexp_extract_all(html, '(?m)^#{1,6}\s+(.+)$', 1) || regexp_extract_all(html, '\b([A-Z][A-Za-z]+) \(', 1) IF length(trim(x)) > 2 AND length(trim(x)) < 100])) AS n FROM pages""")
-def x12(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", F.size(X.concepts(F.col("html"))).cast("long").alias("n"))
+@add("x7_trigram_jaccard", f"""WITH h AS (SELECT item_id, substr(text, 1, length(text) // 2) AS a, substr(text, length(text) // 2 + 1) AS b FROM benchmark), g AS (SELECT item_id, {GRAMS.format('a')} AS g, {GRAMS.format('b')} AS h FROM h)
+    SELECT item_id, round(CASE WHEN len(g) + len(h) = 0 THEN 1 ELSE len(list_intersect(g, h)) / len(list_distinct(g || h)) END, 6) AS j FROM g""")
+def x7(spark, sf_dir):
+    """The first half of each text with its second."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", F.lit(1), half).alias("a"), F.substring("text", half + 1, F.length("text")).alias("b"))
+    return b.select("item_id", F.round(X.jaccard(X.ngrams(F.col("a"), 3), X.ngrams(F.col("b"), 3), 1.0), 6).alias("j"))
 
 
-@add("x15_sql_smells", "SELECT page_id, ['unbounded'] AS smells FROM pages WHERE NOT lower(url) LIKE '%where%' AND NOT lower(url) LIKE '%limit%' UNION ALL SELECT page_id, []::VARCHAR[] FROM pages WHERE lower(url) LIKE '%where%' OR lower(url) LIKE '%limit%'")
+@add("x15_sql_smells", """SELECT p_partkey, list_filter([CASE WHEN p_partkey % 2 = 0 THEN 'select_star' END, CASE WHEN p_partkey % 3 = 0 THEN 'unbounded' END, CASE WHEN p_partkey % 5 = 0 THEN 'many_joins' END], lambda x: x IS NOT NULL) AS smells FROM part""")
 def x15(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", X.sql_smells(F.col("url")).alias("smells"))
+    k = F.col("p_partkey")
+    sql = F.concat(F.when(k % 2 == 0, "SELECT  * FROM t").otherwise("select p_name from t"), F.when(k % 5 == 0, " join a JOIN b join c Join d").otherwise(" join a join b join c"), F.when(k % 3 == 0, "").when(k % 3 == 1, F.concat(F.lit(" WHERE k = "), k)).otherwise(" limit 5"))
+    return table(spark, sf_dir, "part").select("p_partkey", X.sql_smells(sql).alias("smells"))
 
 
 @add("x22_class_name", "SELECT p_partkey, string_agg(upper(w[1]) || w[2:], '' ORDER BY i) AS class FROM (SELECT p_partkey, unnest(string_split(lower(replace(p_type, ' ', '_')), '_')) AS w, generate_subscripts(string_split(p_type, ' '), 1) AS i FROM part) GROUP BY 1")
@@ -59,9 +59,9 @@ def x22(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.class_name(F.concat(F.lit("tbl_"), F.replace("p_type", F.lit(" "), F.lit("_")))).alias("class"))
 
 
-@add("x24_strip_markup", "SELECT page_id, length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)```.*?```', ' ', 'g'), '<[^>]+>', ' ', 'g'), '!?\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '[*_`#>|]+', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS n FROM pages")
+@add("x24_strip_markup", "SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)```.*?```', ' ', 'g'), '<[^>]+>', ' ', 'g'), '!?\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '[*_`#>|]+', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS text_sha256 FROM pages")
 def x24(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", F.length(X.strip_markup(F.col("html"))).cast("long").alias("n"))
+    return pages(spark, sf_dir).select("page_id", F.sha2(X.strip_markup(F.col("html")), 256).alias("text_sha256"))
 
 
 @add("x31_json_access", "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
@@ -105,10 +105,9 @@ def n2(spark, sf_dir):
     return R.top_of_page(R.rrf(_lists(spark, sf_dir)), [F.desc("score"), F.asc("key")]).select("key", "slug")
 
 
-@add("n3_type_cap", "SELECT doc_id, type FROM (SELECT doc_id, lang AS type FROM documents ORDER BY n_chars DESC, doc_id LIMIT 40) QUALIFY row_number() OVER (PARTITION BY type ORDER BY doc_id) <= 24")
+@add("n3_type_cap", "SELECT doc_id, lang AS type FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 24")
 def n3(spark, sf_dir):
-    d = docs(spark, sf_dir).orderBy(F.desc("n_chars"), "doc_id").limit(40).select("doc_id", F.col("lang").alias("type"))
-    return R.type_cap(d, [F.asc("doc_id")], 40)
+    return R.type_cap(docs(spark, sf_dir).select("doc_id", F.col("lang").alias("type")), [F.asc("doc_id")], 40)
 
 
 @add("n4_page_cap", "SELECT doc_id, source AS slug FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 2")
@@ -123,7 +122,18 @@ def n5(spark, sf_dir):
 
 @add("r8_hybrid_search")
 def r8(spark, sf_dir):
-    return R.hybrid(_lists(spark, sf_dir), 0, 20)
+    """Three routes over the parts: BM25, cosine and graph paths from a supplier's lines to what they hold."""
+    from orrery.operators import graph
+
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("slug"), F.concat_ws(" ", "p_name", "p_type", "p_brand", "p_partkey").alias("chunk_text"), F.col("p_type").alias("type"))
+    limit = 20
+    ranked = lambda number, hits: hits.orderBy(F.desc("score"), "id").limit(2 * limit).select(F.lit(number).alias("list"), (F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1).alias("rank"), "slug", "chunk_text", "type")
+    words = R.bm25(p, "red promo", "id", "chunk_text").join(p, "id")
+    cosine = R.tf_cosine(p, "red ring of promo", "id", "chunk_text").join(p, "id")
+    line = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.col("l_partkey").cast("string").alias("dst"), F.lit("delivers").alias("relation")).distinct()
+    paths = graph.path_retrieval(p, line, spark.createDataFrame([("s1", 10.0), ("s2", 6.0)], "id string, score double"))
+    ends = paths.select(F.element_at("path", -1).alias("id"), "score").groupBy("id").agg(F.max("score").alias("score")).join(p, "id")
+    return R.hybrid(ranked(1, words).unionByName(ranked(2, cosine)).unionByName(ranked(3, ends)), 0, limit)
 
 
 @add("r1_bm25", """WITH d AS (SELECT doc_id, lower(text) AS t, greatest(length(text) - 2, 0) AS len FROM documents),
@@ -177,10 +187,12 @@ def f14(spark, sf_dir):
     return R.longest_prefix(pages(spark, sf_dir).select("page_id", "url"), routes, "url", "private").select("page_id", "route")
 
 
-@add("j14_vocabulary_match", "SELECT item_id AS qid, n_nationkey AS card, n_name AS term, 1.0 AS score FROM benchmark, nation WHERE contains(lower(text), lower(n_name))")
+@add("j14_vocabulary_match", "WITH t AS (SELECT DISTINCT p_type AS card, p_type AS term FROM part UNION SELECT DISTINCT 'name:' || p_name, p_name FROM part) SELECT p_partkey AS qid, card, term, 1.0 AS score FROM part, t WHERE contains(lower('is the ' || p_name || ' of ' || p_type || '?'), lower(term))")
 def j14(spark, sf_dir):
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    return R.vocabulary_match(q, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("card"), F.col("n_name").alias("term")))
+    p = table(spark, sf_dir, "part")
+    q = p.select(F.col("p_partkey").alias("qid"), F.concat(F.lit("is the "), "p_name", F.lit(" of "), "p_type", F.lit("?")).alias("question"))
+    terms = p.select(F.col("p_type").alias("card"), F.col("p_type").alias("term")).union(p.select(F.concat(F.lit("name:"), "p_name"), "p_name")).distinct()
+    return R.vocabulary_match(q, terms)
 
 
 @add("f10_node_search", "SELECT c_custkey FROM customer WHERE contains(c_name, '42')")

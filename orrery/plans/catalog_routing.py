@@ -16,10 +16,11 @@ def u3(spark, sf_dir):
     return R.release_diff(o.where("resource_id % 5 <> 0"), new)
 
 
-@add("j22_template_tools", "SELECT p_partkey AS resource_id, p_brand AS revision_id, p_name AS template, s_name AS tool FROM part JOIN supplier ON p_partkey = s_suppkey WHERE p_partkey % 2 = 0")
+@add("j22_template_tools", "SELECT DISTINCT p_partkey AS resource_id, p_brand AS revision_id, p_name AS template, 'ship-' || l_linestatus AS tool FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity > 45 AND p_partkey % 4 <> 0")
 def j22(spark, sf_dir):
-    p, s = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
-    tools = s.join(p, F.col("s_suppkey") == F.col("p_partkey")).where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("resource_id"), F.col("p_brand").alias("revision_id"), F.col("s_name").alias("tool"))
+    """Templates of parts at their brand; tools of lines, of which some name an older brand."""
+    p, line = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem").where("l_quantity > 45")
+    tools = line.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_partkey").alias("resource_id"), F.when(F.col("p_partkey") % 4 == 0, "older").otherwise(F.col("p_brand")).alias("revision_id"), F.concat(F.lit("ship-"), "l_linestatus").alias("tool")).distinct()
     return R.template_tools(p.select(F.col("p_partkey").alias("resource_id"), F.col("p_brand").alias("revision_id"), F.col("p_name").alias("template")), tools)
 
 
@@ -65,9 +66,15 @@ def f4(spark, sf_dir):
     return table(spark, sf_dir, "customer").where(test).select("c_custkey")
 
 
-@add("d7_explain_fact", "SELECT '0' AS t0, 'ruleset:rule-1' AS rule_id, 'derived' AS how")
+@add("d7_explain_fact", "SELECT n_nationkey::VARCHAR AS t0, CASE WHEN n_regionkey = 1 THEN NULL WHEN n_nationkey < 10 THEN 'ruleset:rule-1' ELSE 'ruleset:rule-2' END AS rule_id, CASE WHEN n_regionkey = 1 THEN 'asserted' ELSE 'derived' END AS how FROM nation WHERE n_nationkey IN (0, 1, 6, 12, 14)")
 def d7(spark, sf_dir):
     from orrery.operators.datalog import infer
 
-    facts = {"nation": table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("t0"))}
-    return R.explain_fact(infer(spark, "place(X) :- nation(X).", facts, proofs=True)["place"], ["0"])
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("t0"), "n_nationkey", "n_regionkey")
+    facts = {"place": n.where("n_regionkey = 1").select("t0"), "low": n.where("n_nationkey < 10").select("t0"), "nation": n.select("t0")}
+    derived = infer(spark, "place(X) :- low(X).\nplace(X) :- nation(X), not low(X).", facts, proofs=True)["place"]
+    out = None
+    for k in (0, 1, 6, 12, 14):
+        one = R.explain_fact(derived, [str(k)])
+        out = one if out is None else out.unionByName(one)
+    return out
\ No newline at end of file

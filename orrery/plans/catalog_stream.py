@@ -30,20 +30,22 @@ def z18s(spark, sf_dir):
     return E.sessions(events(spark, sf_dir), "2 hours").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
-@add("z8_idempotent", "SELECT count(*) AS n FROM events")
+@add("z8_idempotent", "SELECT event_id, event_type FROM events")
 def z8(spark, sf_dir):
     e = events(spark, sf_dir)
-    return E.idempotent(e.unionByName(e)).agg(F.count(F.lit(1)).alias("n"))
+    return E.idempotent(e.unionByName(e)).select("event_id", "event_type")
 
 
-@add("z11_token_bucket")
+@add("z11_token_bucket", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    b AS (SELECT user_id, event_id, t, i, 2.0::DOUBLE AS tokens, true AS allowed FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, greatest(b.t, e.t), e.i, x - (x >= 1)::INT, x >= 1 FROM (SELECT e.*, b.t AS before, least(3.0::DOUBLE, b.tokens + greatest(0, e.t - b.t) / 3600) AS x FROM b JOIN e ON e.user_id = b.user_id AND e.i = b.i + 1) e, LATERAL (SELECT e.before AS t) b)
+    SELECT user_id, event_id, allowed FROM b""")
 def z11(spark, sf_dir):
-    return E.token_bucket(events(spark, sf_dir), 1 / 3600, 3.0)
+    return E.token_bucket(events(spark, sf_dir), 1 / 3600, 3.0).select("user_id", "event_id", "allowed")
 
 
-@add("w1_normalised_text", "SELECT '[source=nation, index=' || n_nationkey || '] n_name=' || n_name || '; n_regionkey=' || n_regionkey AS value FROM nation")
+@add("w1_normalised_text", "SELECT '[source=customer, index=' || c_custkey || '] c_name=' || c_name || '; c_mktsegment=' || c_mktsegment AS value FROM customer")
 def w1(spark, sf_dir):
-    return writers.normalised_text(table(spark, sf_dir, "nation"), "nation", "n_nationkey")
+    return writers.normalised_text(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "customer", "c_custkey")
 
 
 @add("w10_upsert", "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 10 = 0")
@@ -52,19 +54,26 @@ def w10(spark, sf_dir):
     return writers.upsert(c.where("c_custkey % 3 <> 0"), c.where("c_custkey % 10 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1), ["c_custkey"])
 
 
-@add("w11_delete", "SELECT count(*) AS nodes FROM customer WHERE c_nationkey <> 3")
+@add("w11_delete", "SELECT 'node' AS kind, c_custkey AS a, NULL::BIGINT AS b FROM customer WHERE c_nationkey <> 3 UNION ALL SELECT 'edge', o_custkey, o_orderkey + 1000000000 FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey <> 3")
 def w11(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     nodes = c.select(F.col("c_custkey").alias("id"))
-    e = c.select(F.col("c_custkey").alias("src"), F.col("c_nationkey").alias("dst"))
-    return writers.delete(nodes, e, c.where("c_nationkey = 3").select(F.col("c_custkey").alias("id")))[0].agg(F.count(F.lit(1)).alias("nodes"))
-
-
-@add("w7_concept_bundle", "SELECT count(*) AS pages, count(DISTINCT path) AS paths FROM (SELECT c_name AS path FROM customer UNION ALL SELECT n_name FROM nation)")
+    e = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + 1000000000).alias("dst"))
+    nodes, e = writers.delete(nodes, e, c.where("c_nationkey = 3").select(F.col("c_custkey").alias("id")))
+    return nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b")).unionByName(e.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
+@add("w7_concept_bundle", """WITH c AS (SELECT *, lower(replace(c_name, '#', '-')) AS base FROM customer), n AS (SELECT *, lower(replace(n_name, '_', '-')) AS base FROM nation), j AS (SELECT c.base AS cb, c_name, n.base AS nb, n_name FROM c JOIN n ON c_nationkey = n_nationkey), nl AS (SELECT chr(10) AS x),
+    p AS (SELECT cb || '.md' AS path, '---' || x || 'type: customer' || x || 'title: ' || c_name || x || '---' || x || x || '- lives_in: [' || n_name || '](' || nb || '.md)' || x AS content FROM j, nl
+    UNION ALL SELECT n.base || '.md', '---' || x || 'type: nation' || x || 'title: ' || n_name || x || '---' || x || x || coalesce((SELECT string_agg('- from lives_in: [' || c_name || '](' || cb || '.md)', chr(10) ORDER BY cb) FROM j WHERE nb = n.base), '') || x FROM n, nl
+    UNION ALL SELECT 'index/customer.md', '# customer' || chr(10) || chr(10) || string_agg('- [' || c_name || '](' || base || '.md)', chr(10) ORDER BY base) || chr(10) FROM c
+    UNION ALL SELECT 'index/nation.md', '# nation' || chr(10) || chr(10) || string_agg('- [' || n_name || '](' || base || '.md)', chr(10) ORDER BY base) || chr(10) FROM n
+    UNION ALL SELECT 'log.md', '- wrote ' || ((SELECT count(*) FROM c) + (SELECT count(*) FROM n)) || ' concepts and ' || (SELECT count(*) FROM j) || ' relations' || chr(10))
+    SELECT path, sha256(content) AS content_sha256 FROM p""")
 def w7(spark, sf_dir):
     from orrery.plans.catalog_temporal import _triples
 
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     nodes = c.select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_name").alias("label"), F.lit("customer").alias("type")).unionByName(n.select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("label"), F.lit("nation").alias("type")))
     edges = _triples(spark, sf_dir).select(F.concat(F.lit("c"), "src").alias("src"), F.concat(F.lit("n"), "dst").alias("dst"), "relation")
-    return writers.concept_bundle(nodes, edges).agg(F.count(F.lit(1)).alias("pages"), F.count_distinct("path").alias("paths"))
+    return writers.concept_bundle(nodes, edges).select("path", F.sha2("content", 256).alias("content_sha256"))
\ No newline at end of file

@@ -29,16 +29,17 @@ def j6(spark, sf_dir):
     return T.as_of(versions(spark, sf_dir), at, at).select("fact_id", "value")
 
 
-@add("z2_snapshot", f"SELECT object_id, false AS conflict, count(*) AS n FROM {V} WHERE valid_from <= TIMESTAMP '2024-01-15' AND tx_from <= TIMESTAMP '2024-01-20' AND (tx_to IS NULL OR tx_to > TIMESTAMP '2024-01-20') GROUP BY 1")
+@add("z2_snapshot", f"SELECT object_id, false AS conflict, field, value FROM {V} WHERE valid_from <= TIMESTAMP '2024-01-15' AND tx_from <= TIMESTAMP '2024-01-20' AND (tx_to IS NULL OR tx_to > TIMESTAMP '2024-01-20')")
 def z2(spark, sf_dir):
     out = T.snapshot(versions(spark, sf_dir), F.lit("2024-01-15").cast("timestamp_ntz"), F.lit("2024-01-20").cast("timestamp_ntz"))
-    return out.select("object_id", "conflict", F.size("values").cast("long").alias("n"))
+    return out.select("object_id", "conflict", F.explode("values").alias("field", "value"))
 
 
-@add("z3_verify", "SELECT 0::BIGINT AS faults")
+@add("z3_verify", f"SELECT fact_id, version FROM {V} WHERE version % 5 = 0")
 def z3(spark, sf_dir):
-    v = versions(spark, sf_dir)
-    return T.verify_digests(v).agg(F.count(F.lit(1)).alias("faults"))
+    """Every fifth version's value was changed behind its digest."""
+    v = versions(spark, sf_dir).withColumn("value", F.when(F.col("version") % 5 == 0, F.col("value") + 1).otherwise(F.col("value")))
+    return T.verify_digests(v).select("fact_id", "version")
 
 
 @add("j8_change_set", "WITH a AS (SELECT o_orderkey AS k, o_totalprice AS p FROM orders WHERE o_orderkey % 5 <> 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS p FROM orders WHERE o_orderkey % 3 <> 0) SELECT coalesce(a.k, b.k) AS o_orderkey, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'deleted' ELSE 'updated' END AS change FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.p <> b.p")
@@ -76,10 +77,12 @@ def n7(spark, sf_dir):
     return T.build_chain(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type").select("user_id", "event_id", "previous_hash", "hash")
 
 
-@add("n7_verify_chain", "SELECT 0::BIGINT AS faults")
+@add("n7_verify_chain", "WITH e AS (SELECT user_id, event_id, coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) % 10 = 7, false) AS cut FROM events) SELECT user_id, event_id FROM e WHERE event_id % 10 <> 7 AND (event_id % 10 = 3 OR cut)")
 def n7v(spark, sf_dir):
+    """Entries that were changed (3) or whose predecessor was taken out (7)."""
     chain = T.build_chain(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type").withColumn("n", F.col("event_id").cast("long"))
-    return T.chain_faults(chain, "user_id", "n").agg(F.count(F.lit(1)).alias("faults"))
+    chain = chain.where("n % 10 <> 7").withColumn("payload", F.when(F.col("n") % 10 == 3, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
+    return T.chain_faults(chain, "user_id", "n").select("user_id", F.col("n").alias("event_id"))
 
 
 @add("n8_latest", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
@@ -140,14 +143,27 @@ def a10(spark, sf_dir):
     return M.quality_report(d, F.sha2("text", 256), F.when(F.col("n_chars") < 100, "too_short").when(F.col("n_chars") > 8000, "too_long"))
 
 
-@add("a11_diversity")
+#: Distinct trigrams of a text in lower case.
+GRAMS = "list_distinct([substr(lower(text), i, 3) FOR i IN range(1, length(text) - 1)])"
+
+
+@add("a11_diversity", f"""WITH s AS (SELECT item_id, {GRAMS} AS g, row_number() OVER (ORDER BY sha256(item_id::VARCHAR), item_id) AS r FROM benchmark), t AS (SELECT * FROM s WHERE r <= 100)
+    SELECT round(coalesce(1 - avg(CASE WHEN len(a.g) + len(b.g) = 0 THEN 1 ELSE len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) END), 1), 3) AS diversity FROM t a JOIN t b ON a.r < b.r""")
 def a11(spark, sf_dir):
     return M.diversity(table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
-@add("w3_exact_split", "SELECT 'train' AS split, floor(count(*) * 0.8)::BIGINT AS n FROM documents UNION ALL SELECT 'val', floor(count(*) * 0.1)::BIGINT FROM documents UNION ALL SELECT 'test', (count(*) - floor(count(*) * 0.8) - floor(count(*) * 0.1))::BIGINT FROM documents")
+#: The split of exact_split over rows with a key and a number n of rows.
+SPLIT = "CASE WHEN r < floor(n * 0.8) THEN 'train' WHEN r < floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split"
+
+
+def ranked(key: str) -> str:
+    return f"row_number() OVER (ORDER BY ('0x' || substr(md5('42:' || {key}), 1, 15))::BIGINT, {key}) - 1 AS r, count(*) OVER () AS n"
+
+
+@add("w3_exact_split", f"SELECT doc_id, {SPLIT} FROM (SELECT doc_id, {ranked('doc_id')} FROM documents)")
 def w3(spark, sf_dir):
-    return M.exact_split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    return M.exact_split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", "split")
 
 
 @add("m1_entity_qa", "SELECT c_custkey AS id, 'entity' AS kind, 'What is ' || c_name || '?' AS question FROM customer UNION ALL SELECT c_custkey, 'attribute', 'What is the c_nationkey of ' || c_name || '?' FROM customer")
@@ -160,15 +176,17 @@ def m2(spark, sf_dir):
     return M.relation_qa(_triples(spark, sf_dir)).select("src", F.col("messages")[1]["content"].alias("answer"))
 
 
-@add("m3_summaries", "SELECT doc_id, length('Summarise this text:\n' || substr(text, 1, 800)) AS n FROM documents WHERE length(text) >= 100")
+@add("m3_summaries", r"""SELECT doc_id, sha256('Summarise this text:' || chr(10) || substr(text, 1, 800)) AS prompt, sha256(array_to_string(list_filter(string_split(regexp_replace(text, '([.!?。！？])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')[1:3], ' ')) AS summary FROM documents WHERE length(text) >= 100""")
 def m3(spark, sf_dir):
-    return M.summaries(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.length(F.col("messages")[0]["content"]).cast("long").alias("n"))
+    m = M.summaries(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return m.select("doc_id", F.sha2(F.col("messages")[0]["content"], 256).alias("prompt"), F.sha2(F.col("messages")[1]["content"], 256).alias("summary"))
 
 
-@add("m4_multi_turn", "SELECT n_nationkey AS src, 2 * least(3, count(*)) + 1 AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 HAVING count(*) >= 2")
+@add("m4_multi_turn", """WITH t AS (SELECT n_nationkey, n_name, c_name, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) AS k, count(*) OVER (PARTITION BY n_nationkey) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey)
+    SELECT n_nationkey AS src, string_agg('user:What does ' || n_name || ' have to do with ' || c_name || '?|assistant:' || n_name || ' is home of ' || c_name || '.', '|' ORDER BY k) || '|user:Thank you. That is all on ' || n_name || '.' AS messages FROM t WHERE k <= 3 AND n >= 2 GROUP BY n_nationkey, n_name""")
 def m4(spark, sf_dir):
     t = _triples(spark, sf_dir).select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("target").alias("source"), F.lit("is_home_of").alias("relation"), F.col("source").alias("target"))
-    return M.multi_turn(t).select("src", F.size("messages").cast("long").alias("n"))
+    return M.multi_turn(t).select("src", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|").alias("messages"))
 
 
 @add("m5_rag_aggregational", "SELECT c_mktsegment AS type, count(*)::VARCHAR AS answer, 'How many ' || c_mktsegment || ' are there?' AS question, 'hard' AS difficulty FROM customer GROUP BY 1")
@@ -186,10 +204,16 @@ def m6(spark, sf_dir):
     return M.tool_samples(_nodes(spark, sf_dir)).select("id", F.col("tool_calls")[0].alias("call"))
 
 
-@add("m9_pipeline", "WITH s AS (SELECT least(500, 2 * count(*)) + least(500, count(*)) AS n FROM customer), t AS (SELECT n, floor(n * 0.8)::BIGINT AS train, floor(n * 0.1)::BIGINT AS val FROM s) SELECT 'train' AS split, train AS n FROM t UNION ALL SELECT 'val', val FROM t UNION ALL SELECT 'test', n - train - val FROM t")
+SAY = """'[{"role":"user","content":' || to_json(q)::VARCHAR || '},{"role":"assistant","content":' || to_json(a)::VARCHAR || '}]'"""
+
+
+@add("m9_pipeline", f"""WITH g AS (SELECT 'entity' AS generator, 'What is ' || c_name || '?' AS q, 'A customer in ' || c_mktsegment AS a FROM customer UNION ALL SELECT 'entity', 'What is the c_nationkey of ' || c_name || '?', 'The c_nationkey of ' || c_name || ' is ' || c_nationkey || '.' FROM customer
+    UNION ALL SELECT 'relation', 'How is ' || c_name || ' related to ' || n_name || '?', c_name || ' lives in ' || n_name || '.' FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    k AS (SELECT generator, sha256({SAY}) AS key FROM g WHERE length(q) BETWEEN 5 AND 500 AND length(a) BETWEEN 10 AND 8000), c AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY generator ORDER BY sha256('42:' || key), key) <= 500)
+    SELECT generator, key, {SPLIT} FROM (SELECT generator, key, {ranked('key')} FROM (SELECT key, min(generator) AS generator FROM c GROUP BY 1))""")
 def m9(spark, sf_dir):
     parts = {"entity": M.entity_qa(_nodes(spark, sf_dir), ["c_nationkey"]), "relation": M.relation_qa(_triples(spark, sf_dir))}
-    return M.pipeline(parts, 1000).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    return M.pipeline(parts, 1000).select("generator", "key", "split")
 
 
 @add("k4_implicit_usage", "SELECT doc_id AS id, 'license' AS name, least(1.0::DOUBLE, 0.1::DOUBLE * ((length(text) - length(replace(lower(text), 'license', ''))) / 7)) AS relevance FROM documents WHERE contains(lower(text), 'license')")
