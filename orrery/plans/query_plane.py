@@ -152,7 +152,9 @@ def guard_read_only(text: str, language: str = "sql") -> str:
     for a, b in ("()", "[]", "{}"):
         if low.count(a) != low.count(b):
             raise ValueError("brackets don't match")
-    bad = [w for w in WRITE_WORDS[language] if re.search(rf"(?<![\w.?$:]){w}\b(?!\s*[(.:,=<>+*/-]|\s+(?:from|as|is|in|and|or|between|like)\b|\s*$)", low)]
+    # Cypher writes MERGE (n); elsewhere a bracket after a word makes it a function.
+    after = r"[.:,=<>+*/-]" if language == "cypher" else r"[(.:,=<>+*/-]"
+    bad = [w for w in WRITE_WORDS[language] if re.search(rf"(?<![\w.?$:]){w}\b(?!\s*{after}|\s+(?:from|as|is|in|and|or|between|like)\b|\s*$)", low)]
     if bad:
         raise ValueError(f"not allowed: {bad}")
     return text

@@ -43,27 +43,27 @@ _SQL_TOKEN = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|--[^\
 _SQL_INSERT = re.compile(r"(?is)^\s*insert\s+into\s+([\w.`\"]+)\s*(?:\(([^)]*)\))?\s*values\s*(.*)$")
 
 
-def sql_statements(text: str) -> Iterator[str]:
-    """Statements between semicolons that stand in no string; comments go."""
+def sql_statements(text: str) -> Iterator[tuple[str, str]]:
+    """Statements up to semicolons that stand in no string, and the semicolon if there is one; comments go."""
     held: list[str] = []
     for m in _SQL_TOKEN.finditer(text):
         if m[0] == ";":
-            yield "".join(held).strip()
+            yield "".join(held).strip(), ";"
             held = []
         elif not m[0].startswith(("--", "/*")):
             held.append(m[0])
-    yield "".join(held).strip()
+    yield "".join(held).strip(), ""
 
 
 def sql_records(text: str) -> list[tuple[str, list[str] | None, str]]:
     """(table, columns, values) of each INSERT; without any, (first table, None, text) of each SELECT."""
-    statements = [s for s in sql_statements(text) if s]
-    found = [m for m in map(_SQL_INSERT.match, statements) if m]
+    statements = [(s, end) for s, end in sql_statements(text) if s]
+    found = [m for s, _ in statements if (m := _SQL_INSERT.match(s))]
     if found:
         bare = lambda name: re.sub('[`"]', "", name.strip())
         return [(bare(m[1]), None if m[2] is None else [bare(c) for c in m[2].split(",")], m[3].strip()) for m in found]
     first = lambda s: (m[1] if (m := re.search(r"(?is)\bfrom\s+([\w.]+)", s)) else "")
-    return [(first(s), None, s) for s in statements if s.lower().startswith("select")]
+    return [(first(s), None, s + end) for s, end in statements if s.lower().startswith("select")]
 
 
 def read_sql_dump(texts: DataFrame, text_col: str = "text") -> DataFrame:

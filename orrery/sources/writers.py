@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.operators.audit import csv_guard
@@ -42,13 +42,11 @@ def html_report(df: DataFrame) -> DataFrame:
     return df.select(F.concat(F.lit("<tr>"), *[cell(c) for c in df.columns], F.lit("</tr>")).alias("value"))
 
 
-def concept_bundle(nodes: DataFrame, edges: DataFrame, page_links: int = 10_000) -> DataFrame:
-    """(path, content): a Markdown page with front matter for each node, with its links out and in, in order; an
-    index by type, and a log. Equal names get a number.
+def _page(base: str, n: str) -> Column:
+    return F.concat(F.col(base), F.when(F.col(n) > 1, F.concat(F.lit("."), n)).otherwise(""), F.lit(".md"))
 
-    A page holds at most ``page_links`` links. A hub's others are on pages of their own (name.2.md, ...), each named on the
-    first page, so none is lost and no row grows with a hub; the index is cut in the same way.
-    """
+
+def _pages(nodes: DataFrame, edges: DataFrame, page_links: int) -> tuple[DataFrame, DataFrame]:
     from pyspark.sql import Window
 
     slug = F.regexp_replace(F.regexp_replace(F.lower("label"), "[^a-z0-9一-鿿]+", "-"), "^-+|-+$", "")
@@ -56,7 +54,6 @@ def concept_bundle(nodes: DataFrame, edges: DataFrame, page_links: int = 10_000)
     same = F.row_number().over(Window.partitionBy("slug").orderBy("id"))
     named = nodes.withColumn("slug", slug).withColumn("k", same)
     named = named.withColumn("base", F.concat("slug", F.when(F.col("k") > 1, F.concat(F.lit("-"), "k")).otherwise("")))
-    page = lambda base, n: F.concat(F.col(base), F.when(F.col(n) > 1, F.concat(F.lit("."), n)).otherwise(""), F.lit(".md"))
     ends = named.select("id", F.col("base").alias("to"), F.col("label").alias("to_label"))
     out = edges.join(ends.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), F.lit(0).alias("way"), "relation", "to", "to_label")
     into = edges.join(ends.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), F.lit(1).alias("way"), "relation", "to", "to_label")
@@ -69,12 +66,30 @@ def concept_bundle(nodes: DataFrame, edges: DataFrame, page_links: int = 10_000)
     head = F.concat(F.lit("---\ntype: "), "type", F.lit("\ntitle: "), "label", F.lit("\n---\n\n"))
     text = F.concat(head, F.concat_ws("\n", "links", more), F.lit("\n"))
     pages = first.select(F.concat("base", F.lit(".md")).alias("path"), text.alias("content"))
-    rest = links.where("n > 1").join(named, "id").select(page("base", "n").alias("path"), F.concat(head, "links", F.lit("\n")).alias("content"))
+    rest = links.where("n > 1").join(named, "id").select(_page("base", "n").alias("path"), F.concat(head, "links", F.lit("\n")).alias("content"))
+    return pages.unionByName(rest), named
+
+
+def concept_bundle(nodes: DataFrame, edges: DataFrame, page_links: int = 10_000) -> DataFrame:
+    """(path, content): a Markdown page with front matter for each node, with its links out and in, in order. Equal
+    names get a number.
+
+    A page holds at most ``page_links`` links. A hub's others are on pages of their own (name.2.md, ...), each named on the
+    first page, so none is lost and no row grows with a hub.
+    """
+    return _pages(nodes, edges, page_links)[0]
+
+
+def bundle(nodes: DataFrame, edges: DataFrame, page_links: int = 10_000) -> DataFrame:
+    """The pages of ``concept_bundle``, an index of each type, cut in the same way, and a log."""
+    from pyspark.sql import Window
+
+    pages, named = _pages(nodes, edges, page_links)
     listed = named.withColumn("r", F.row_number().over(Window.partitionBy("type").orderBy("base"))).withColumn("n", F.ceil(F.col("r") / page_links).cast("int"))
     index = listed.groupBy("type", "n").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("base", F.concat(F.lit("- ["), "label", F.lit("]("), "base", F.lit(".md)")).alias("l")))), lambda x: x["l"]), "\n").alias("l"))
-    index = index.withColumn("base", F.concat(F.lit("index/"), "type")).select(page("base", "n").alias("path"), F.concat(F.lit("# "), "type", F.lit("\n\n"), "l", F.lit("\n")).alias("content"))
+    index = index.withColumn("base", F.concat(F.lit("index/"), "type")).select(_page("base", "n").alias("path"), F.concat(F.lit("# "), "type", F.lit("\n\n"), "l", F.lit("\n")).alias("content"))
     log = nodes.agg(F.count(F.lit(1)).alias("a")).join(edges.agg(F.count(F.lit(1)).alias("b"))).select(F.lit("log.md").alias("path"), F.format_string("- wrote %d concepts and %d relations\n", "a", "b").alias("content"))
-    return pages.unionByName(rest).unionByName(index).unionByName(log)
+    return pages.unionByName(index).unionByName(log)
 
 
 def compiled_artifacts(resources: DataFrame, targets: dict[str, list[str]]) -> DataFrame:

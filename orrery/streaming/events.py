@@ -52,7 +52,7 @@ def token_bucket(events: DataFrame, rate: float, burst: float, key: str = "user_
         frame, allowed = frame.sort_values(["ts", "event_id"], kind="stable"), []
         for t in frame["ts"]:
             now = t.timestamp()
-            tokens = min(burst, tokens + max(0.0, now - last) * rate) if last else burst
+            tokens = min(burst, tokens + max(0.0, now - last) * rate)
             last = max(last, now)
             allowed.append(tokens >= 1)
             tokens -= 1 if tokens >= 1 else 0
@@ -62,11 +62,11 @@ def token_bucket(events: DataFrame, rate: float, burst: float, key: str = "user_
     if not events.isStreaming:
 
         def go_by(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            bucket: tuple = (None, burst, 0.0)
+            bucket: tuple = (None, burst, float("-inf"))
             for f in frames:
                 parts = []
                 for k, rows in f.groupby(key, sort=False, dropna=False):
-                    tokens, last = bucket[1:] if bucket[0] == k else (burst, 0.0)
+                    tokens, last = bucket[1:] if bucket[0] == k else (burst, float("-inf"))
                     out, tokens, last = take(rows, tokens, last)
                     bucket = (k, tokens, last)
                     parts.append(out)
@@ -79,7 +79,7 @@ def token_bucket(events: DataFrame, rate: float, burst: float, key: str = "user_
         if state.hasTimedOut:
             state.remove()
             return
-        tokens, last = state.get if state.exists else (burst, 0.0)
+        tokens, last = state.get if state.exists else (burst, float("-inf"))
         rows = pd.concat(list(frames))
         out, tokens, last = take(rows, tokens, last)
         state.update((tokens, last))

@@ -111,7 +111,7 @@ def test_json_pages_to_the_end(spark, pages):
 def test_bundle_of_a_hub_loses_no_link(spark):
     nodes = spark.createDataFrame([("h", "Hub", "t")] + [(f"n{i}", "Leaf", "t") for i in range(25)], "id string, label string, type string")
     edges = spark.createDataFrame([("h", f"n{i}", "has") for i in range(25)] + [("n3", "h", "knows")], "src string, dst string, relation string")
-    pages = {r.path: r.content for r in writers.concept_bundle(nodes, edges, page_links=10).collect()}
+    pages = {r.path: r.content for r in writers.bundle(nodes, edges, page_links=10).collect()}
     hub = [pages[p] for p in ("hub.md", "hub.2.md", "hub.3.md")]
     assert sum(p.count("\n- has: ") for p in hub) == 25 and sum(p.count("- from knows: ") for p in hub) == 1
     assert "[2](hub.2.md)" in pages["hub.md"] and "[3](hub.3.md)" in pages["hub.md"]
@@ -123,7 +123,7 @@ def test_sql_dump_without_columns_and_with_quotes(spark):
     text = "INSERT INTO t VALUES (1,2); insert into `a.b` (x, \"y\") values ('a;b', ')'), (2, 'it''s') ;\n-- c; d\nINSERT INTO t VALUES (3)"
     got = readers.sql_records(text)
     assert got == [("t", None, "(1,2)"), ("a.b", ["x", "y"], "('a;b', ')'), (2, 'it''s')"), ("t", None, "(3)")]
-    assert readers.sql_records("select 1 from a; SELECT ';' FROM b.c") == [("a", None, "select 1 from a"), ("b.c", None, "SELECT ';' FROM b.c")]
+    assert readers.sql_records("select 1 from a; SELECT ';' FROM b.c") == [("a", None, "select 1 from a;"), ("b.c", None, "SELECT ';' FROM b.c")]
     assert readers.sql_records("") == [] == readers.sql_records("nothing; here")
 
 

@@ -18,7 +18,7 @@ def plain(rows):
 
 def test_formats_agree():
     want = plain(rdf.parse_any(TURTLE))
-    assert len(want) == 9
+    assert len(want) == 8
     assert plain(rdf.parse_any(XML)) == want and plain(rdf.parse_any(JSON_LD)) == want
     assert rdf.parse_any(" ") == []
     for bad in ("<a", "{", "[1]", '{"@context": "http://far/"}'):
