@@ -13,6 +13,8 @@ from orrery.session import cut
 
 #: Frequent keys hold at least 1/TRACKED of all rows, so there are at most TRACKED of them.
 TRACKED = 4096
+#: Places to which the neighbours of a node are dealt.
+SALTS = 8
 
 
 def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, tracked: int = TRACKED) -> DataFrame:
@@ -30,18 +32,24 @@ def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str,
     return there.unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys).select(*out))
 
 
+def _salted(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """(b, m) of edges (a, b) and the minimum m of each a. A hub's rows are dealt to SALTS places, each of which has m."""
+    at = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    dealt = least.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return at.join(dealt, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star operation over undirected edges (a, b), given once each with a > b."""
-    # A hub has many rows, so its minimum is broadcast to them.
     if large:
         # Every node links its larger neighbours to its smallest neighbour (itself included).
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
-        moved = join_counted(both.where("b > a"), least, ["a"], "n").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        moved = _salted(both.where("b > a"), least)
     else:
         # Every node links its smaller neighbours and itself to the smallest of them.
-        least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-        moved = join_counted(edges, least, ["a"], "n").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        least = edges.groupBy("a").agg(F.min("b").alias("m"))
+        moved = _salted(edges, least).unionByName(least.select("a", F.col("m").alias("b")))
     return moved.where("a <> b").distinct()
 
 
