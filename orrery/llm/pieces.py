@@ -47,6 +47,8 @@ TOKENIZER, K, ALPHA, SEED = "piece_bpe_32k.model", 2, 1.0, 23
 SPACE = "▁"
 #: Units up to so many characters are sampled together; their lattices are kept, so many states at most.
 SHORT, STATES = 32, 1_500_000
+#: States that the tables have room for, and a quarter of the arcs.
+ROOM = STATES + (1 << 20)
 #: Units sampled at once, whole texts at least.
 AT_ONCE = 30_000
 BYTES = 1 << 21  # ids from here on stand for the byte pieces of the character id - BYTES
@@ -116,11 +118,13 @@ class Vocabulary:
         self.reset()
 
     def reset(self) -> None:
+        """Forget all lattices. The tables are laid out at their full size, of which only what is written takes memory."""
         self.start: dict[str, int] = {}
         self.n_states = self.n_arcs = 0
-        self.first = np.zeros(1024, dtype=np.int32)  # of a state's arcs
-        # Of each arc: probability up to and with it among its state's, state after it (-1: none), id, log-probability.
-        self.upto, self.next, self.piece, self.logp = np.zeros(4096, dtype=np.float32), np.zeros(4096, dtype=np.int32), np.zeros(4096, dtype=np.int32), np.zeros(4096)
+        if len(getattr(self, "first", ())) != ROOM:
+            self.first = np.zeros(ROOM, dtype=np.int32)  # of a state's arcs
+            # Of each arc: probability up to and with it among its state's, state after it (-1: none), id, log-probability.
+            self.upto, self.next, self.piece, self.logp = (np.zeros(4 * ROOM, dtype=t) for t in (np.float32, np.int32, np.int32, np.float64))
 
     def arcs(self, unit: str) -> list[list[tuple[int, float, int]]]:
         """For each position, (id, log-weight, position after it): the plain form of ``_lookup``, which tests hold to it."""
@@ -290,12 +294,14 @@ class Vocabulary:
         return np.array(got, dtype=np.int64)
 
     def _room(self, states: int, arcs: int) -> None:
-        while self.n_states + states + 1 > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-        while self.n_arcs + arcs > len(self.upto):
-            for name in ("upto", "next", "piece", "logp"):
-                old = getattr(self, name)
-                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
+        """Larger tables for a unit that does not fit; they go with the next reset."""
+        for names, wanted in ((("first",), self.n_states + states + 1), (("upto", "next", "piece", "logp"), self.n_arcs + arcs)):
+            if wanted > len(getattr(self, names[0])):
+                for name in names:
+                    old = getattr(self, name)
+                    new = np.zeros(wanted + wanted // 4, dtype=old.dtype)
+                    new[: len(old)] = old
+                    setattr(self, name, new)
 
     def sample(self, states: np.ndarray, key: np.ndarray, number: int, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(units, steps) arcs of a segmentation of each unit, -1 after the last, and its log-probability."""
