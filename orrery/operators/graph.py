@@ -288,12 +288,29 @@ def _quality(links: DataFrame, labels: DataFrame, total: float, resolution: floa
     return by.agg(F.sum(F.coalesce("inner", F.lit(0.0)) / total - resolution * F.pow(F.col("k") / total, 2))).first()[0] or 0.0
 
 
+def _moved(links: DataFrame, state: DataFrame, total: float, resolution: float, number: int) -> DataFrame:
+    """state (id, label, k: a node's weight) after those of one half of the nodes (by a hash of id and number) moved that
+    gain by it."""
+    volume = state.groupBy("label").agg(F.sum("k").alias("v"))
+    mine = state.join(volume, "label")
+    into = links.where("src <> dst").join(state.select(F.col("id").alias("dst"), F.col("label").alias("to")), "dst").groupBy(F.col("src").alias("id"), "to").agg(F.sum("w").alias("w"))
+    both = into.join(volume.select(F.col("label").alias("to"), F.col("v").alias("other")), "to").join(mine, "id")
+    # A node's own weight does not count against its own community.
+    own = F.col("to") == F.col("label")
+    gain = both.select("id", "to", own.alias("own"), "k", "v", (F.col("w") - resolution * F.col("k") * (F.col("other") - F.when(own, F.col("k")).otherwise(0.0)) / total).alias("g"))
+    # A node none of whose neighbours is in its community gains that community's weight without it.
+    alone = -resolution * F.first("k") * (F.first("v") - F.first("k")) / total
+    choice = gain.groupBy("id").agg(F.max(F.struct("g", "to")).alias("best"), F.coalesce(F.max(F.when(F.col("own"), F.col("g"))), alone).alias("stay"))
+    moves = choice.where((F.col("best.g") > F.col("stay") + 1e-12) & (F.pmod(F.xxhash64(F.lit(number), "id"), F.lit(2)) == 0)).select("id", F.col("best.to").alias("new"))
+    return state.join(moves, "id", "left").select("id", F.coalesce("new", "label").alias("label"), "k")
+
+
 def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, tolerance: float = 1e-7, rounds: int = 100) -> DataFrame:
     """(id, label): communities by Louvain's method. Local moves until modularity grows by less than ``tolerance``,
     then communities become nodes and it begins again, until nothing moves.
 
-    In a round the nodes of one half (by a hash of id and round) move to the neighbouring community of the largest gain,
-    if it is a gain; a round that loses modularity, as moves are made at once, is taken back.
+    In a round first one half of the nodes (by a hash of id and round), then another, moves to the neighbouring community of
+    the largest gain, if it is a gain; a round that gains no modularity, as moves are made at once, is taken back.
     """
     links = cut(_undirected(edges))
     whole = cut(nodes.select("id", F.col("id").alias("label")))
@@ -302,29 +319,18 @@ def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, toleran
         return whole
     best = _quality(links, whole, total, resolution)
     while True:
-        labels = cut(links.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
-        degree = cut(links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")))
+        labels = cut(links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")).select("id", F.col("id").alias("label"), "k"))
         start, misses = best, 0
-        for number in range(rounds):
-            mine = labels.join(degree, "id")
-            volume = mine.groupBy("label").agg(F.sum("k").alias("v"))
-            into = links.where("src <> dst").join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), F.col("label").alias("to")).agg(F.sum("w").alias("w"))
-            gain = into.join(mine, "id").join(volume.withColumnRenamed("label", "to"), "to")
-            # A node's own volume does not count against its own community.
-            other = F.col("v") - F.when(F.col("to") == F.col("label"), F.col("k")).otherwise(0.0)
-            gain = gain.select("id", "to", "label", (F.col("w") - resolution * F.col("k") * other / total).alias("g"))
-            stay = F.coalesce(F.max(F.when(F.col("to") == F.col("label"), F.col("g"))), F.lit(None).cast("double"))
-            choice = gain.groupBy("id").agg(F.max(F.struct("g", F.struct("to"))).alias("best"), stay.alias("stay"), F.first("label").alias("label"))
-            # A node none of whose neighbours is in its community gains that community's volume without it.
-            alone = choice.join(volume, "label").join(degree, "id").withColumn("stay", F.coalesce("stay", -resolution * F.col("k") * (F.col("v") - F.col("k")) / total))
-            moves = alone.where((F.col("best.g") > F.col("stay") + 1e-12) & (F.pmod(F.xxhash64(F.lit(number), "id"), F.lit(2)) == 0)).select("id", F.col("best.to.to").alias("new"))
-            tried = cut(labels.join(moves, "id", "left").select("id", F.coalesce("new", "label").alias("label")))
+        for number in range(0, 2 * rounds, 2):
+            tried = labels
+            for half in (number, number + 1):
+                tried = cut(_moved(links, tried, total, resolution, half))
             now = _quality(links, tried, total, resolution)
             if now > best + tolerance:
                 labels, best, misses = tried, now, 0
             else:
                 misses += 1
-                if misses == 4:  # both halves, twice, with other hashes
+                if misses == 2:  # with other halves too
                     break
         if best <= start + tolerance:
             return whole
