@@ -76,3 +76,21 @@ def test_recall_at_the_threshold():
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<double>, label string")
     assert ed.near_duplicates(df).count() == 0
+
+
+def test_columns_with_clashing_names(spark):
+    data = [(1, [1.0, 0.0], 1, 7, 8, [1.0], "x"), (2, [1.0, 0.01], 1, 7, 8, [1.0], "x"), (3, [0.0, 1.0], 1, 7, 8, [1.0], "x")]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int, id int, node int, vec array<double>, bucket string")
+    got = sorted(map(tuple, ed.near_duplicates(df).collect()))
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
+def test_a_large_group_is_compared_in_many_units(spark):
+    """Every vector within the threshold of every other, and a few strangers: all links are counted once."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=16)
+    data = [(k, (base + rng.normal(size=16) * 0.02).tolist(), 1) for k in range(300)] + [(1000 + k, rng.normal(size=16).tolist(), 1) for k in range(40)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").repartition(4)
+    rows = {r.vec_id: r for r in ed.near_duplicates(df, block=16).collect()}
+    assert all(rows[k].n_links == 299 and rows[k].component_id == 0 for k in range(300))
+    assert all(rows[1000 + k].n_links == 0 for k in range(40))

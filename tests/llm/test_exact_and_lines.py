@@ -107,3 +107,19 @@ def test_written_shards(spark, tmp_path):
     sharding.write_shards(df, str(tmp_path / "s"), shards=4, tasks_per_shard=2)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == 500 and back.groupBy("shard").count().agg({"count": "max"}).first()[0] == 125
+
+
+def test_shards_with_clashing_names_null_and_repeated_ids(spark, tmp_path):
+    from orrery.llm import sharding
+
+    rows = [(i % 40 if i % 7 else None, f"text {i % 90}", i, i, i, i) for i in range(200)] + [(1, None, 0, 0, 0, 0)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, size int, row_number int, shard int, part int").repartition(3)
+    plan = sharding.shard_plan(df, shards=5).collect()
+    assert len(plan) == 203
+    for s in range(5):
+        assert sorted(r.slot for r in plan if r.shard == s) == list(range(len([r for r in plan if r.shard == s])))
+    sharding.write_shards(df, str(tmp_path / "out"), shards=5, tasks_per_shard=2)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 203 and set(back.columns) == {"doc_id", "text", "size", "row_number", "part", "shard", "slot"}
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "", r.part)
+    assert sorted(map(key, back.collect())) == sorted(map(key, df.collect()))

@@ -90,3 +90,12 @@ def test_keep_one_keeps_columns_and_clean_rows(spark):
     df = spark.createDataFrame([(1, "a b c d", 1), (2, "a b c d", 2), (5, "q r s t", 3)], "doc_id long, text string, keep_id int")
     assert sorted(map(tuple, simhash.keep_one(df).collect())) == [(1, "a b c d", 1), (5, "q r s t", 3)]
     assert simhash.near_duplicates(df.where("false")).count() == 0
+
+
+def test_keep_one_with_null_and_repeated_ids(spark):
+    rows = [(None, "a b c d"), (2, "A b c d"), (2, "q r s t"), (3, "q r s t"), (None, "u v w x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # Null ids stay together: one of them is alone with its text.
+    assert sorted(map(tuple, simhash.keep_one(df).collect()), key=str) == sorted([r for r in rows if r[0] != 3], key=str)
+    only = df.where("doc_id is null")
+    assert simhash.keep_one(only).count() == 2
