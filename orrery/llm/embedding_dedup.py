@@ -38,7 +38,7 @@ from orrery.llm.blocks import chunk_size, whole_units
 from orrery.operators.components import connected_components, join_counted
 from orrery.session import cut, store
 
-THRESHOLD, TABLES, HASHES, SEED, BLOCK, MOST = 0.93, 6, 2, 77, 128, 4096
+THRESHOLD, TABLES, HASHES, SEED, BLOCK, MOST = 0.93, 8, 3, 77, 128, 4096
 #: Rows of a unit of work compared at once.
 TILE = 512
 #: Rows hashed at once.
