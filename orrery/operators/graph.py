@@ -257,21 +257,23 @@ def _undirected(edges: DataFrame) -> DataFrame:
 def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
     """Labels of which every node has one that is commonest around it.
 
-    A node whose label is not takes the greatest of the commonest ones. In a round only half of these nodes (by a hash of
-    id and round) move, so neighbours do not swap labels for ever, as they do on a bipartite graph when all move at once.
-    ``rounds`` is a guard: labels that are not settled by then are an error.
+    A node whose label is not takes the greatest of the commonest ones. Nodes move in turn, in two classes, so neighbours do
+    not swap labels for ever: those that edges only leave, those that edges only reach, and of the others one half or the
+    other by a hash of id and round. ``rounds`` is a guard: labels that are not settled by then are an error.
     """
     both = cut(adjacency(edges.withColumn("relation", F.lit(""))).where("src <> dst").select("src", "dst"))
-    labels = cut(nodes.select("id", F.col("id").alias("label")))
+    ends = edges.where("src <> dst").select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(0).alias("side")), F.struct(F.col("dst").alias("id"), F.lit(1).alias("side")))).alias("e")).select("e.*")
+    sides = ends.groupBy("id").agg(F.min("side").alias("low"), F.max("side").alias("high")).select("id", F.when(F.col("low") == F.col("high"), F.col("low")).alias("side"))
+    labels = cut(nodes.select("id", F.col("id").alias("label")).join(sides, "id", "left"))
     for number in range(rounds):
         votes = both.join(labels, both["dst"] == labels["id"]).groupBy("src", "label").agg(F.count(F.lit(1)).alias("n"))
         best = votes.groupBy("src").agg(F.max(F.struct("n", F.col("label").alias("new"))).alias("best"))
         own = labels.join(best, labels["id"] == best["src"], "left").join(votes.select(F.col("src").alias("id"), "label", F.col("n").alias("mine")), ["id", "label"], "left")
-        now = cut(own.select("id", "label", F.col("best.new").alias("new"), (F.col("best.n") > F.coalesce("mine", F.lit(0))).alias("open")))
+        now = cut(own.select("id", "label", "side", F.col("best.new").alias("new"), (F.col("best.n") > F.coalesce("mine", F.lit(0))).alias("open")))
         if now.where("open").isEmpty():
             return now.select("id", "label")
-        moves = F.col("open") & (F.pmod(F.xxhash64(F.lit(number), "id"), F.lit(2)) == 0)
-        labels = cut(now.select("id", F.when(F.coalesce(moves, F.lit(False)), F.col("new")).otherwise(F.col("label")).alias("label")))
+        turn = F.coalesce("side", F.pmod(F.xxhash64(F.lit(number), "id"), F.lit(2)).cast("int")) == number % 2
+        labels = now.select("id", F.when(F.coalesce(F.col("open"), F.lit(False)) & turn, F.col("new")).otherwise(F.col("label")).alias("label"), "side")
     raise RuntimeError("the labels did not settle")
 
 
