@@ -132,20 +132,23 @@ def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int = 100) -> DataFr
     return nodes.select("id").join(total, "id", "left").select("id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
 
-def eigenvector(nodes: DataFrame, edges: DataFrame, rounds: int = 1000, tolerance: float = 1e-6) -> DataFrame:
+def eigenvector(nodes: DataFrame, edges: DataFrame, rounds: int = 1000, tolerance: float = 1e-6, block: int = 4) -> DataFrame:
     """Power iteration on in-edges (with the vector itself added, which only shifts the spectrum), length 1."""
     n = nodes.count()
     x = cut(nodes.select("id", F.lit(1.0 / n if n else 0.0).alias("x")))
     e = cut(edges.select("src", "dst"))
-    for _ in range(rounds):
-        got = e.join(x, e["src"] == x["id"]).groupBy("dst").agg(F.sum("x").alias("got"))
-        new = cut(x.join(got, x["id"] == got["dst"], "left").select("id", "x", (F.col("x") + F.coalesce("got", F.lit(0.0))).alias("y")))
-        norm = new.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0] or 1.0
-        moved = new.agg(F.sum(F.abs(F.col("y") / norm - F.col("x")))).first()[0] or 0.0
-        x = new.select("id", (F.col("y") / norm).alias("x"))
+    for _ in range(0, rounds, block):
+        state = x.select("id", F.col("x").alias("y"))
+        for _ in range(block):
+            got = e.join(state.select(F.col("id").alias("src"), "y"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("y").alias("got"))
+            state = state.select("id", F.col("y").alias("old")).join(got, "id", "left").select("id", "old", (F.col("old") + F.coalesce("got", F.lit(0.0))).alias("y"))
+        state = cut(state)
+        s = state.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("y"), F.sqrt(F.sum(F.col("old") * F.col("old"))).alias("old")).first()
+        y, old = s["y"] or 1.0, s["old"] or 1.0
+        moved = state.agg(F.sum(F.abs(F.col("y") / y - F.col("old") / old))).first()[0] or 0.0
+        x = state.select("id", (F.col("y") / y).alias("x"))
         if moved < n * tolerance:
             break
-        x = cut(x)
     return x.select("id", F.col("x").alias("eigenvector"))
 
 
