@@ -308,3 +308,21 @@ def test_routing_and_cypher(spark):
         spark.createDataFrame([("o", "ann", 2, False), ("o", "ann", 1, True), ("o", "*", 3, False)], "object_id string, subject string, position int, allow boolean"),
     )
     assert {tuple(r) for r in acl.collect()} == {("r1", True), ("r2", False), ("r3", True)}
+
+
+@pytest.mark.parametrize("most", [0, 4096])
+def test_longest_prefix_broadcasts_nothing_that_grows_with_the_paths(spark, monkeypatch, most):
+    from orrery.operators import retrieval as R
+
+    monkeypatch.setattr(R, "ROUTES", most, raising=False)
+    paths = ["/a/b/c", "/a/b", "/a", "/", "x", "", None, "/a/bc", "/a/b/c"]
+    df = spark.createDataFrame(list(enumerate(paths)), "id int, path string")
+    for kinds in ({"/a": "A", "/a/b": "AB", "/a/b/c/d": "D"}, {"": "all", "/a/b/": "AB"}):
+        routes = spark.createDataFrame(list(kinds.items()), "prefix string, route string")
+        made = R.longest_prefix(df, routes, "path", "none")
+        rows = made.collect()
+        best = lambda p: max((k for k in kinds if p is not None and p.startswith(k)), key=len, default=None)  # noqa: E731, B023
+        assert {r.id: r.route for r in rows} == {i: kinds.get(best(p), "none") for i, p in enumerate(paths)}
+        # The last join, with what was found for each path, is by shuffle even where it is small.
+        plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "SortMergeJoin [path" in plan
