@@ -196,26 +196,40 @@ def longest_prefix(df: DataFrame, routes: DataFrame, path_col: str, fallback: st
     return df.join(best.hint("merge"), path_col, "left").withColumn("route", F.coalesce("route", F.lit(fallback)))
 
 
+def _keys(words: DataFrame) -> DataFrame:
+    """(lt, g): what terms (lt, lower case) are met on: all 3-grams of a CJK term, of another the one that fewest terms have."""
+    grams = F.when(F.length("lt") < 3, F.array("lt")).otherwise(X.ngrams(F.col("lt"), 3))
+    every = words.select("lt", _partial("lt").alias("cjk")).distinct().withColumn("g", F.explode(F.array_distinct(grams)))
+    seldom = every.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    one = every.where("NOT cjk").join(seldom, "g").groupBy("lt").agg(F.min(F.struct("n", "g"))["g"].alias("g"))
+    return every.where("cjk").select("lt", "g").unionByName(one)
+
+
+def _partial(term: str) -> Column:
+    """Whether a part of the term counts too."""
+    return F.col(term).rlike(f"[{X.CJK}]") & (F.length(term) >= 4)
+
+
 def vocabulary_match(questions: DataFrame, terms: DataFrame) -> DataFrame:
     """Best term of each card that a question holds: 1.0 for the whole term, 0.6 for one of its 3-grams of a CJK term.
 
-    Terms and questions meet on shared 3-grams (or whole short terms), an equi-join, before the exact test.
+    Terms and questions meet on 3-grams (or whole short terms), an equi-join, before the exact test. A CJK term can be met on
+    each of its 3-grams; another only counts whole, so it is met on the one that the fewest terms have. Each different
+    question is matched once.
     """
-    def grams(c: Column) -> Column:
-        return F.when(F.length(c) < 3, F.array(c)).otherwise(X.ngrams(c, 3))
-
     def parts(c: Column) -> Column:
         # Everything that a term's key can be: 3-grams, and 1- and 2-grams for terms that short.
         return F.array_distinct(F.concat(X.ngrams(c, 3), X.ngrams(c, 2), X.ngrams(c, 1)))
 
-    t = terms.select("card", "term", F.lower("term").alias("lt"), F.explode(grams(F.lower("term"))).alias("g"))
+    cards = terms.select("card", "term", F.lower("term").alias("lt"))
     q = questions.select("qid", F.lower("question").alias("lq"))
-    keys = q.select("qid", F.explode(parts(F.col("lq"))).alias("g"))
-    met = keys.join(t, "g").select("qid", "card", "term", "lt").distinct().join(q, "qid")
-    cjk = F.col("lt").rlike(f"[{X.CJK}]") & (F.length("lt") >= 4)
-    score = F.when(F.col("lq").contains(F.col("lt")), 1.0).when(cjk, 0.6).otherwise(0.0)
-    best = met.withColumn("score", score).where("score > 0")
-    return best.groupBy("qid", "card").agg(F.max(F.struct("score", F.length("term").alias("len"), "term")).alias("b")).select("qid", "card", "b.term", "b.score")
+    asked = q.select("lq").distinct()
+    met = asked.select("lq", F.explode(parts(F.col("lq"))).alias("g")).join(_keys(cards), "g").select("lq", "lt").distinct()
+    score = F.when(F.col("lq").contains(F.col("lt")), 1.0).when(_partial("lt"), 0.6).otherwise(0.0)
+    held = met.withColumn("score", score).where("score > 0").join(cards, "lt")
+    rank = F.struct("score", F.length("term").alias("len"), "term")
+    best = held.groupBy("lq", "card").agg(F.max(rank).alias("b"))
+    return q.join(best, "lq").groupBy("qid", "card").agg(F.max("b").alias("b")).select("qid", "card", "b.term", "b.score")
 
 
 def metric_scenes(routed: DataFrame, scenes: DataFrame) -> DataFrame:

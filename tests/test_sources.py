@@ -310,6 +310,34 @@ def test_routing_and_cypher(spark):
     assert {tuple(r) for r in acl.collect()} == {("r1", True), ("r2", False), ("r3", True)}
 
 
+def test_vocabulary_is_met_on_one_rare_gram(spark):
+    import random
+
+    from orrery.operators import retrieval as R
+
+    rng = random.Random(5)
+    made = sorted({" ".join(rng.choice(["red", "ring", "Bolt", "cold", "gear"]) for _ in range(3)) for _ in range(60)} | {"ab", "R", "\u9500\u552e\u989d\u8868\u683c"})
+    cards = [(f"c{i % 40}", t) for i, t in enumerate(made)]
+    asked = [f"is the {rng.choice(made)} of {rng.choice(made)}?" for _ in range(40)] + ["\u770b\u9500\u552e\u989d\u5417", "", None]
+    rows = [(i, asked[i % len(asked)]) for i in range(3 * len(asked))]
+
+    def score(q, t):
+        q, t = q.lower(), t.lower()
+        part = len(t) >= 4 and any("\u4e00" <= c <= "\u9fff" for c in t) and any(t[i : i + 3] in q for i in range(len(t) - 2))
+        return 1.0 if t in q else 0.6 if part else 0.0
+
+    want = {}
+    for i, q in rows:
+        for card, t in cards:
+            if (s := score(q or "", t)) > 0:
+                want[i, card] = max(want.get((i, card), (0.0, 0, "")), (s, len(t), t))
+    terms = spark.createDataFrame(cards, "card string, term string")
+    got = R.vocabulary_match(spark.createDataFrame(rows, "qid long, question string"), terms).collect()
+    assert {(r.qid, r.card): (r.score, len(r.term), r.term) for r in got} == want and any(v[0] == 0.6 for v in want.values())
+    keys = R._keys(terms.selectExpr("lower(term) AS lt"))
+    assert keys.where("NOT lt rlike '[\u4e00-\u9fff]'").count() == len({t.lower() for t in made}) - 1 and keys.count() == len({t.lower() for t in made}) + 2
+
+
 @pytest.mark.parametrize("most", [0, 4096])
 def test_longest_prefix_broadcasts_nothing_that_grows_with_the_paths(spark, monkeypatch, most):
     from orrery.operators import retrieval as R
