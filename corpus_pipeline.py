@@ -34,7 +34,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of texts with 0.8 of their five-word shingles in common keeps the smallest doc_id.
 
-    SimHash (operator 10) cannot find these: README says why, with figures.
+    SimHash (operator 10) proposes links first, MinHash bands those that it cannot find: README says why, with figures.
     """
     return near.keep_one(docs)
 

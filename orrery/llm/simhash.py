@@ -36,6 +36,16 @@ _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 CHUNK = 8192
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    votes = np.zeros(64, dtype=np.int64)
+    for start in range(0, len(hashes), CHUNK):
+        part = hashes[start : start + CHUNK]
+        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = np.packbits(votes * 2 > len(hashes), bitorder="little")
+    return int(bits.view("<u8")[0])
+
+
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     """The unsigned 64-bit fingerprint of a whole text."""
     # bytes.split() without arguments splits at exactly [\x20\x09-\x0D].
@@ -51,12 +61,7 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
         shingles = (b" ".join(tokens[i : i + words]) for i in range(len(tokens) - words + 1))
     total = len(tokens) - words + 1
     hashes = np.fromiter((digest(s, seed) for s in shingles), dtype="<u8", count=total)
-    votes = np.zeros(64, dtype=np.int64)
-    for start in range(0, total, CHUNK):
-        part = hashes[start : start + CHUNK]
-        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(votes * 2 > total, bitorder="little")
-    return int(bits.view("<u8")[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, seed: int = SEED) -> DataFrame:

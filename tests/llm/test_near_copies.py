@@ -88,3 +88,42 @@ def test_null_and_repeated_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(map(tuple, near_copies.keep_one(df).collect()))
     assert got == [(3, "a  b c d e f"), (3, "q r s t u v"), (3, "q r s t u v")]
+
+
+@pytest.mark.parametrize("most", [1, 512])
+def test_units_meet_each_pair_that_is_not_linked_and_grow_with_the_bucket(spark, monkeypatch, most):
+    """A bucket of 400 nodes, one component but for 12, in chunks of 8: in the second pass by pieces, or by pairs of chunks."""
+    monkeypatch.setattr(near_copies, "MOST", most)
+    n = 400
+    places = spark.range(n).selectExpr("7L AS bucket", "3 AS band", "id AS node")
+    sizes = spark.createDataFrame([(7, 50)], "bucket long, chunks int")
+    comps = spark.range(12, n).selectExpr("id AS node", "12L AS comp")
+    within = near_copies._within(places, sizes).collect()
+    across = near_copies._across(places, sizes, comps, 8).collect()
+    met = set()
+    for rows in (within, across):
+        units = {}
+        for r in rows:
+            units.setdefault((r.i, r.j), []).append(r)
+        for unit in units.values():
+            for x in unit:
+                for y in unit:
+                    if x.node != y.node and x.comp != y.comp and (x.side == y.side == 0 or x.side == y.side == 3 or (x.side == 1 and y.side >= 2)):
+                        met.add(frozenset((x.node, y.node)))
+    assert len(within) == n
+    assert all(frozenset((a, b)) in met for a in range(12) for b in range(n) if a != b)
+    if most == 512:
+        assert len(across) <= 3 * n
+
+
+def test_fingerprints_propose_links(spark, monkeypatch):
+    """Without any bucket of minima, copies whose fingerprints are within two bits still link, those that are too unlike do not."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(words[:-1] + ["changed"]), "a b c d e f", "q r s t u v"]
+    monkeypatch.setattr(near_copies, "_places", lambda nodes: nodes.where("false").selectExpr("node AS bucket", "0 AS band", "node"))
+    prints = [near_copies.simhash.majority(near_copies.hashes(t)) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.keep_one(df).collect()) == [0, 2, 3]
+    pairs = spark.createDataFrame([(1, 2, texts[0], texts[2])], "a long, b long, x string, y string")
+    assert near_copies._checked(pairs).count() == 0
