@@ -33,7 +33,7 @@ from orrery.llm import simhash
 from orrery.llm.blocks import chunk_size, whole_units
 from orrery.llm.common import LOWER, UPPER, keep_smallest
 from orrery.operators.components import connected_components, join_counted
-from orrery.session import cut, store
+from orrery.session import cut, store, tidy
 
 WORDS, SEED, BANDS, ROWS, LEAST = 5, 42, 24, 4, 56
 #: The similarity that links, as a fraction of whole numbers.
@@ -270,20 +270,26 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def verified(work: DataFrame) -> DataFrame:
         signs = some.select("node", "size", "minima")
         active = cut(_active(work.join(signs, "node")))
-        return cut(_verified(active.join(signs.join(texts(active.select("node")), "node"), "node")))
+        tidy(docs.sparkSession)
+        out = cut(_verified(active.join(signs.join(texts(active.select("node")), "node"), "node")))
+        del active
+        tidy(docs.sparkSession)
+        return out
 
     near = cut(_sketched(some.select("node", "fp")))
     ends = cut(texts(near.select(F.explode(F.array("a", "b")).alias("node"))))
     both = [ends.select(F.col("node").alias(c), F.col("text").alias(t)) for c, t in (("a", "x"), ("b", "y"))]
     links = cut(_checked(near.join(both[0], "a").join(both[1], "b")))
+    del near, ends, both
+    tidy(docs.sparkSession)
     places = _places(some)
     # A bucket of one is most of them; those left are looked up again.
     sizes = cut(_chunks(places, block))
     links = links.unionByName(verified(_within(places, sizes)))
-    found = connected_components(links)
+    found = connected_components(links, tidied=True)
     if not sizes.where("chunks > 1").isEmpty():
         more = verified(_across(places, sizes, found.withColumnRenamed("component", "comp"), block))
-        found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), tidied=True)
     named = cut(nodes.join(found, "node", "left").select("node", "least", "copies", F.coalesce("component", "node").alias("component")))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
     label = cut(join_counted(named, smallest, ["component"], "members").select("node", "copies", "component_id"))

@@ -118,13 +118,14 @@ class Vocabulary:
         self.reset()
 
     def reset(self) -> None:
-        """Forget all lattices. The tables are laid out at their full size, of which only what is written takes memory."""
+        """Forget all lattices and give back their memory. The tables are laid out anew at their full size, of which only
+        what is written takes memory."""
         self.start: dict[str, int] = {}
         self.n_states = self.n_arcs = 0
-        if len(getattr(self, "first", ())) != ROOM:
-            self.first = np.zeros(ROOM, dtype=np.int32)  # of a state's arcs
-            # Of each arc: probability up to and with it among its state's, state after it (-1: none), id, log-probability.
-            self.upto, self.next, self.piece, self.logp = (np.zeros(4 * ROOM, dtype=t) for t in (np.float32, np.int32, np.int32, np.float64))
+        self.first = self.upto = self.next = self.piece = self.logp = None
+        self.first = np.zeros(ROOM, dtype=np.int32)  # of a state's arcs
+        # Of each arc: probability up to and with it among its state's, state after it (-1: none), id, log-probability.
+        self.upto, self.next, self.piece, self.logp = (np.zeros(4 * ROOM, dtype=t) for t in (np.float32, np.int32, np.int32, np.float64))
 
     def arcs(self, unit: str) -> list[list[tuple[int, float, int]]]:
         """For each position, (id, log-weight, position after it): the plain form of ``_lookup``, which tests hold to it."""
@@ -645,27 +646,31 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(tokenizer, alpha)
-        for batch in batches:
-            texts = batch.column(n).to_pylist()
-            keys = batch.column(n + 1).to_numpy(zero_copy_only=False).view(np.uint64)
-            for part in _groups(texts):
-                got = top_k(vocab, texts[part], keys[part], k)
-                rows = np.repeat(np.arange(part.start, part.stop), [len(g) for g in got])
-                flat = [x for g in got for x in g]
-                columns = [c.take(pa.array(rows)) for c in batch.columns[:n]]
-                ends = np.cumsum([len(x[0]) for x in flat])
-                values = np.concatenate([np.zeros(0, dtype=np.int32), *[x[0] for x in flat]])
-                columns += [
-                    pa.array([r for g in got for r in range(len(g))], pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values, pa.int32())),
-                    *(pa.array([x[i] for x in flat], pa.float64()) for i in (1, 2, 3)),
-                ]
-                if verify:
-                    raw, stops = vocab.decode_all(values, ends)
-                    raw = raw.tobytes()
-                    starts = [0, *stops[:-1].tolist()]
-                    columns.append(pa.array([raw[a:b] == texts[i].encode("utf-8", "surrogatepass") for a, b, i in zip(starts, stops.tolist(), rows.tolist(), strict=True)], pa.bool_()))
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+        try:
+            for batch in batches:
+                texts = batch.column(n).to_pylist()
+                keys = batch.column(n + 1).to_numpy(zero_copy_only=False).view(np.uint64)
+                for part in _groups(texts):
+                    got = top_k(vocab, texts[part], keys[part], k)
+                    rows = np.repeat(np.arange(part.start, part.stop), [len(g) for g in got])
+                    flat = [x for g in got for x in g]
+                    columns = [c.take(pa.array(rows)) for c in batch.columns[:n]]
+                    ends = np.cumsum([len(x[0]) for x in flat])
+                    values = np.concatenate([np.zeros(0, dtype=np.int32), *[x[0] for x in flat]])
+                    columns += [
+                        pa.array([r for g in got for r in range(len(g))], pa.int32()),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values, pa.int32())),
+                        *(pa.array([x[i] for x in flat], pa.float64()) for i in (1, 2, 3)),
+                    ]
+                    if verify:
+                        raw, stops = vocab.decode_all(values, ends)
+                        raw = raw.tobytes()
+                        starts = [0, *stops[:-1].tolist()]
+                        columns.append(pa.array([raw[a:b] == texts[i].encode("utf-8", "surrogatepass") for a, b, i in zip(starts, stops.tolist(), rows.tolist(), strict=True)], pa.bool_()))
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+        finally:
+            # The worker goes on to other tasks, of other stages too; what it kept would be on top of theirs.
+            vocab.reset()
 
     return narrow.mapInArrow(run, schema)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.session import cut
+from orrery.session import cut, tidy
 
 #: Frequent keys hold at least 1/TRACKED of all rows, so there are at most TRACKED of them.
 TRACKED = 4096
@@ -53,11 +53,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, tidied: bool = False) -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` (columns a and b, of one type with an order) can reach.
 
     Nodes without edges do not appear; null ends and loops are ignored. ``max_rounds`` is a guard against a fault, not
-    a cut-off: if the rounds do not end by then, it raises.
+    a cut-off: if the rounds do not end by then, it raises. ``tidied``: each round's files go before the next.
     """
     now = (
         edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
@@ -75,4 +75,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if tuple(state) == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         before = tuple(state)
+        if tidied:
+            tidy(edges.sparkSession)
     raise RuntimeError("the components did not settle")

@@ -177,3 +177,16 @@ def test_unknown_ids_decode_to_nothing(spark, vocab):
     rows = [(1, [ids, 10**6, -5, None, ids]), (2, None), (3, []), (4, [vocab.first_byte + 0xFF])]
     df = spark.createDataFrame(rows, "doc_id long, ids array<int>")
     assert {r.doc_id: r.text for r in pieces.decode(df).collect()} == {1: "thethe", 2: "", 3: "", 4: "�"}
+
+
+def test_a_worker_keeps_no_lattices_after_its_task(spark):
+    df = spark.createDataFrame([(i, f"some words of row {i}") for i in range(40)], "doc_id long, text string").repartition(4)
+    assert pieces.encode(df).count() == 80
+
+    def held(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pieces.vocabulary(pieces.TOKENIZER, pieces.ALPHA).n_states], pa.int64())], names=["n"])
+
+    assert {r.n for r in spark.range(8).repartition(4).mapInArrow(held, "n long").collect()} == {0}

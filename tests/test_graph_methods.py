@@ -166,3 +166,11 @@ def test_seeds_take_any_number_of_candidates(spark):
     nodes = spark.createDataFrame([(1, "alpha"), (2, "alpha beta"), (3, "x"), (4, None)], "id long, label string")
     words = spark.createDataFrame([(f"w{i}",) for i in range(500)] + [("ALPHA",), ("x",)], "c string")
     assert [(r.id, r.score) for r in graph.seeds(nodes, words).collect()] == [(1, 10.0), (3, 10.0), (2, 3.0)]
+
+
+def test_tidied_components_are_the_same(spark):
+    from orrery.operators import components
+
+    edges = spark.range(1, 200).selectExpr("id AS a", "id - 1 AS b")
+    kept = {r.node: r.component for r in components.connected_components(edges, tidied=True).collect()}
+    assert kept == {r.node: r.component for r in components.connected_components(edges).collect()} == dict.fromkeys(range(200), 0)
