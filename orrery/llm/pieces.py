@@ -34,6 +34,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,8 @@ SHORT, STATES = 32, 1_500_000
 ROOM = STATES + (1 << 20)
 #: Units sampled at once, whole texts at least.
 AT_ONCE = 30_000
+#: Excluded arcs that are gone through one by one.
+FEW = 64
 BYTES = 1 << 21  # ids from here on stand for the byte pieces of the character id - BYTES
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -66,20 +69,34 @@ def _uniform(key: np.ndarray, sample: int, unit: np.ndarray, step: int | np.ndar
     return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / (1 << 52)
 
 
+def _uniform_of(key: int, sample: int, unit: int, step: int) -> float:
+    """The number that ``_uniform`` gives for one key, unit and step."""
+    m1, m2, m3, low = int(_M1), int(_M2), int(_M3), (1 << 64) - 1
+    x = key ^ (unit * m1 & low) ^ ((sample * 1_000_003 + step + 1) * m3 & low)
+    x = (x ^ x >> 30) * m2 & low
+    x = (x ^ x >> 27) * m3 & low
+    x = (x ^ x >> 31) * m1 & low
+    return ((x >> 12) + 0.5) / (1 << 52)
+
+
 class _Random:
-    """A stream of numbers in (0, 1) for scalar steps, drawn in growing blocks."""
+    """A stream of numbers in (0, 1) for scalar steps: the first ones singly, then in growing blocks."""
 
     def __init__(self, key: int, sample: int, unit: int):
-        self.key, self.sample, self.unit, self.step = np.array([key], dtype=np.uint64), sample, np.array([unit]), 1 << 18
-        self.size, self.block = 8, iter(())
+        self.of, self.step, self.size, self.block = (key, sample, unit), 1 << 18, 8, iter(())
 
     def __call__(self) -> float:
+        if self.step < (1 << 18) + 8:
+            self.step += 1
+            self.size = 32
+            return _uniform_of(*self.of, self.step)
         u = next(self.block, None)
         if u is None:
+            key, sample, unit = self.of
             steps = np.arange(self.step + 1, self.step + 1 + self.size)
             self.step += self.size
             self.size = min(4 * self.size, 8192)
-            self.block = iter(_uniform(self.key, self.sample, self.unit, steps).tolist())
+            self.block = iter(_uniform(np.array([key], dtype=np.uint64), sample, np.array([unit]), steps).tolist())
             u = next(self.block)
         return u
 
@@ -153,11 +170,14 @@ class Vocabulary:
             ids = np.array([i for _, i, _ in own], dtype=np.int64)
             spelt = np.array([[ord(c) for c in piece_of[i]] for i in ids.tolist()], dtype=np.uint64).reshape(len(own), n)
             self.pieces_by.append((hashes, ids, np.array([w for _, _, w in own]), spelt))
-            # A table of hash ends says no at once to most of what is no piece, and to what begins none.
-            own_ends, starts = np.zeros(1 << 18, dtype=bool), np.zeros(1 << 18, dtype=bool)
-            own_ends[(hashes >> np.uint64(46)).astype(np.int64)] = True
+            # Tables of hash ends: the first piece with that end (-1: none), so no piece is searched for, and whether
+            # longer ones begin so. Pieces with one end follow each other, ``most`` at most.
+            ends = (hashes >> np.uint64(46)).astype(np.int64)
+            slots, starts = np.full(1 << 18, -1, dtype=np.int16 if len(own) < 1 << 15 else np.int32), np.zeros(1 << 18, dtype=bool)
+            slots[ends[::-1]] = np.arange(len(own))[::-1]
+            most = int(np.bincount(ends).max()) if len(own) else 0
             starts[(np.array(longer, dtype=np.uint64) >> np.uint64(46)).astype(np.int64)] = True
-            self.starts_by.append((own_ends, starts if longer else None))
+            self.starts_by.append((slots, most, starts if longer else None))
 
     @staticmethod
     def _hash(text: str) -> int:
@@ -171,51 +191,54 @@ class Vocabulary:
 
     def _lookup(self, codes: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All arcs over joined units: (position, length, id, weight), by position. end: of each position's unit."""
-        at, h = np.arange(len(codes)), np.zeros(len(codes), dtype=np.uint64)
+        at, h, room = np.arange(len(codes)), np.zeros(len(codes), dtype=np.uint64), end - np.arange(len(codes))
         found, single = [], np.zeros(len(codes), dtype=bool)
         mult = np.uint64(0x9E3779B97F4A7C15)
         for n in range(1, self.longest + 1):
-            inside = at + n <= end[at]
-            at, h = at[inside], h[inside]
             if not len(at):
                 break
             with np.errstate(over="ignore"):
-                h = (h ^ codes[at + n - 1]) * mult ^ (h >> np.uint64(29))
+                h = (h ^ codes[at + (n - 1)]) * mult ^ (h >> np.uint64(29))
             hashes, ids, weights, spelt = self.pieces_by[n - 1]
-            own_ends, starts = self.starts_by[n - 1]
+            slots, most, starts = self.starts_by[n - 1]
             ends = (h >> np.uint64(46)).astype(np.int32)
             if len(hashes):
-                likely = np.flatnonzero(own_ends[ends])
-                k = np.minimum(np.searchsorted(hashes, h[likely]), len(hashes) - 1)
-                hit = np.flatnonzero(hashes[k] == h[likely])
+                k = slots[ends]
+                likely = np.flatnonzero(k >= 0)
+                k, mine = k[likely].astype(np.int64), h[likely]
+                miss = np.flatnonzero(hashes[k] != mine)
+                for _ in range(1, most):
+                    k[miss] = np.minimum(k[miss] + 1, len(hashes) - 1)
+                    miss = miss[hashes[k[miss]] != mine[miss]]
+                k[miss] = -1
+                hit = np.flatnonzero(k >= 0)
                 places, k = at[likely[hit]], k[hit]
                 # A hash only proposes; the characters decide.
                 same = (codes[places[:, None] + np.arange(n)] == spelt[k]).all(axis=1)
                 if not same.all():
                     places, k = places[same], k[same]
-                found.append((places, np.full(len(places), n), ids[k], weights[k]))
+                found.append((places, n, ids[k], weights[k]))
                 if n == 1:
                     single[places] = True
             if starts is None:
                 break
-            on = starts[ends]
-            at, h = at[on], h[on]
+            on = np.flatnonzero(starts[ends] & (room > n))
+            at, h, room = at[on], h[on], room[on]
         bare = np.flatnonzero(~single)
         c = codes[bare].astype(np.int64)
         n_bytes = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
-        found.append((bare, np.ones(len(bare), dtype=np.int64), BYTES + c, self.byte_weight * n_bytes))
+        found.append((bare, 1, BYTES + c, self.byte_weight * n_bytes))
         # Each part has a position once at most, so counting puts the arcs in order without sorting.
         count, rank = np.zeros(len(codes), dtype=np.int64), []
         for places, *_ in found:
             rank.append(count[places])
             count[places] += 1
-        first = np.cumsum(count) - count
-        place, length, ids, weights = (np.concatenate(x) for x in zip(*found, strict=True))
-        to = first[place] + np.concatenate(rank)
-        out = np.empty(len(to), dtype=np.int64), np.empty(len(to), dtype=np.int64), np.empty(len(to), dtype=np.int64), np.empty(len(to))
-        for new, old in zip(out, (place, length, ids, weights), strict=True):
-            new[to] = old
-        return out
+        first, total = np.cumsum(count) - count, int(count.sum())
+        length, piece, weight = np.empty(total, dtype=np.int64), np.empty(total, dtype=np.int64), np.empty(total)
+        for (places, n, ids, weights), turn in zip(found, rank, strict=True):
+            to = first[places] + turn
+            length[to], piece[to], weight[to] = n, ids, weights
+        return np.repeat(np.arange(len(codes)), count), length, piece, weight
 
     def add_all(self, units: list[str]) -> None:
         """Build the lattices of new units, all short or all long, together. States of a unit follow its positions."""
@@ -284,15 +307,15 @@ class Vocabulary:
         """First states of the units' lattices, all kept."""
         if self.n_states > STATES:
             self.reset()
-        got = list(map(self.start.get, units))
-        missing = [i for i, s in enumerate(got) if s is None]
-        if missing:
-            new = list(dict.fromkeys(units[i] for i in missing))
+        got = np.fromiter(map(self.start.get, units, repeat(-1)), dtype=np.int64, count=len(units))
+        missing = np.flatnonzero(got < 0)
+        if len(missing):
+            wanted = [units[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(wanted))
             self.add_all([u for u in new if len(u) <= SHORT])
             self.add_all([u for u in new if len(u) > SHORT])
-            for i in missing:
-                got[i] = self.start[units[i]]
-        return np.array(got, dtype=np.int64)
+            got[missing] = np.fromiter(map(self.start.__getitem__, wanted), dtype=np.int64, count=len(wanted))
+        return got
 
     def _room(self, states: int, arcs: int) -> None:
         """Larger tables for a unit that does not fit; they go with the next reset."""
@@ -401,6 +424,9 @@ class _Excluded:
     """
 
     def __init__(self, vocab: Vocabulary, state: int, paths: list[np.ndarray]):
+        if sum(map(len, paths)) <= FEW:
+            self._node_by_node(vocab, state, paths)
+            return
         self.states, self.arcs, self.last, self.forks = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=bool), {}
         for path in paths:
             path = np.asarray(path, dtype=np.int64)
@@ -428,6 +454,32 @@ class _Excluded:
                     left[node] += p * left[child]
         self.left = left
 
+    def _node_by_node(self, vocab: Vocabulary, state: int, paths: list[np.ndarray]) -> None:
+        """The same for a few arcs, of which arrays are more work than the arcs themselves."""
+        states, self.arcs, self.last, self.forks = [], [], [], {}
+        for path in paths:
+            node, at, end = 0, state, len(path) - 1
+            for k, arc in enumerate(np.asarray(path).tolist()):
+                if node == len(self.arcs):
+                    states.append(at)
+                    self.arcs.append(arc)
+                    self.last.append(k == end)
+                if self.arcs[node] == arc:
+                    node += 1
+                else:
+                    node = self.forks.setdefault(node, {}).setdefault(arc, -1 if k == end else len(self.arcs))
+                at = int(vocab.next[arc])
+        self.left = [0.0] * len(states)
+        for node in range(len(states) - 1, -1, -1):
+            low, high = int(vocab.first[states[node]]), int(vocab.first[states[node] + 1])
+            children = self.children(node)
+            for arc, log in zip(range(low, high), vocab.logp[low:high].tolist(), strict=True):
+                child = children.get(arc)
+                if child is None:
+                    self.left[node] += math.exp(log)
+                elif child >= 0:
+                    self.left[node] += math.exp(log) * self.left[child]
+
     def _insert(self, vocab: Vocabulary, state: int, path: np.ndarray) -> None:
         node, k = 0, 0
         while len(self.arcs) and k < len(path):

@@ -190,3 +190,24 @@ def test_a_worker_keeps_no_lattices_after_its_task(spark):
             yield pa.RecordBatch.from_arrays([pa.array([pieces.vocabulary(pieces.TOKENIZER, pieces.ALPHA).n_states], pa.int64())], names=["n"])
 
     assert {r.n for r in spark.range(8).repartition(4).mapInArrow(held, "n long").collect()} == {0}
+
+
+def test_few_arcs_one_by_one_are_as_arrays(vocab, monkeypatch):
+    """Single random numbers against blocks of them, short excluded paths against arrays, slots of hashes against plain arcs."""
+    for step in (0, 5, 1 << 18):
+        assert pieces._uniform_of((1 << 64) - 3, 2, 9, step) == pieces._uniform(np.array([(1 << 64) - 3], dtype=np.uint64), 2, np.array([9]), step)[0]
+    unit = " internat"
+    vocab.reset()
+    vocab.add_all([unit])
+    state = vocab.start[unit]
+    paths = [np.array(vocab.sample_one(state, None, pieces._Random(k, 0, 0))) for k in range(6)]
+    short = pieces._Excluded(vocab, state, paths)
+    monkeypatch.setattr(pieces, "FEW", 0)
+    whole = pieces._Excluded(vocab, state, paths)
+    assert np.allclose(short.left, whole.left, rtol=1e-12) and short.arcs == whole.arcs.tolist() and short.forks == whole.forks
+    words = [f" {w}" for w in list(vocab.id_of)[:3000] if " " not in w and len(w) < 30]
+    vocab.add_all(words)
+    for w in words:
+        first = vocab.first[vocab.start[w] : vocab.start[w] + len(w) + 1]
+        assert vocab.piece[first[0] : first[-1]].tolist() == [p for arcs in vocab.arcs(w) for p, _, _ in sorted(arcs, key=lambda a: a[2])]
+    vocab.reset()
