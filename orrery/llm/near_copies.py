@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm import simhash
 from orrery.llm.blocks import chunk_size, whole_units
-from orrery.llm.common import LOWER, UPPER, keep_smallest
+from orrery.llm.common import LOWER, UPPER, keep_smallest, lean
 from orrery.operators.components import connected_components, join_counted
 from orrery.session import cut, store, tidy
 
@@ -104,7 +104,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             cols = [batch.column(0), batch.column(1), nodes, pa.array(size, pa.int64()), pa.array(made, pa.binary()), fps]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "text", "node", "size", "minima", "fp"])
 
-    return narrow.mapInArrow(run, f"id {kind}, text string, node long, size long, minima binary, fp long")
+    return narrow.mapInArrow(lean(run), f"id {kind}, text string, node long, size long, minima binary, fp long")
 
 
 def _sketched(nodes: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def _checked(pairs: DataFrame) -> DataFrame:
             ok = [alike(shingles(x.as_py()), shingles(y.as_py())) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 def _places(nodes: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def _active(work: DataFrame) -> DataFrame:
                     busy[s + a] = busy[s + b] = True
             yield from table.select(kept).filter(pa.array(busy)).to_batches()
 
-    return _units(work).mapInArrow(run, "bucket long, band int, i int, j int, node long, side int, comp long")
+    return _units(work).mapInArrow(lean(run), "bucket long, band int, i int, j int, node long, side int, comp long")
 
 
 def _verified(work: DataFrame) -> DataFrame:
@@ -252,7 +252,7 @@ def _verified(work: DataFrame) -> DataFrame:
                         out.append((int(col["node"][s + k]), int(col["node"][s + m])))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in (0, 1)], schema=schema)
 
-    return _units(work).mapInArrow(run, "a long, b long")
+    return _units(work).mapInArrow(lean(run), "a long, b long")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import text_of, unique_name
+from orrery.llm.common import lean, text_of, unique_name
 
 TOKENIZER, K, ALPHA, SEED = "piece_bpe_32k.model", 2, 1.0, 23
 #: Fixed value: the character that stands for a space in pieces.
@@ -724,7 +724,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
             # The worker goes on to other tasks, of other stages too; what it kept would be on top of theirs.
             vocab.reset()
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(lean(run), schema)
 
 
 def decode(coded: DataFrame, ids_col: str = "ids", out: str = "text", tokenizer: str = TOKENIZER, drop_ids: bool = False) -> DataFrame:
@@ -747,4 +747,4 @@ def decode(coded: DataFrame, ids_col: str = "ids", out: str = "text", tokenizer:
                 texts = pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip([0, *ends], ends, strict=False)], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], texts], names=names)
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(lean(run), schema)

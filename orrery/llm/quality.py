@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import text_of, unique_name
+from orrery.llm.common import lean, text_of, unique_name
 from orrery.session import cut
 
 FOLDS, SAMPLE, THRESHOLD, SEED = 5, 20_000, 0.3, 5
@@ -212,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     context = np.zeros((BUCKETS, WIDTH))
     # Sums of whole numbers: the same however the sample is dealt out.
-    for part in rows.select("text").coalesce(GATHER).mapInArrow(gather, "table binary").collect():
+    for part in rows.select("text").coalesce(GATHER).mapInArrow(lean(gather), "table binary").collect():
         context += np.frombuffer(part["table"], dtype=np.int32).reshape(BUCKETS, WIDTH)
     # A common sum that all words share says nothing about any of them.
     context -= context.sum(axis=0) / max(1.0, np.abs(context).sum()) * np.abs(context).sum(axis=1, keepdims=True)
@@ -226,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x = pooled(b.column(0).to_pylist(), shared.value, buckets).astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), b.column(1), b.column(2), b.column(3)], names=["x", "y", "hold", "id"])
 
-    got = rows.select("text", F.col("y").cast("double"), "hold", F.col("id").cast("string")).mapInArrow(features, "x binary, y double, hold boolean, id string").collect()
+    got = rows.select("text", F.col("y").cast("double"), "hold", F.col("id").cast("string")).mapInArrow(lean(features), "x binary, y double, hold boolean, id string").collect()
     got.sort(key=lambda r: r["id"])
     x = np.array([np.frombuffer(r["x"], dtype=np.float32) for r in got], dtype=np.float64).reshape(len(got), 2 * WIDTH + 1)
     return fit_network(x, np.array([r["y"] for r in got]), np.array([r["hold"] for r in got], dtype=bool), vectors, seed)
@@ -247,7 +247,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
             scores = shared.value.scores(b.column(at).to_pylist(), buckets)
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(scores, pa.float64())], names=names)
 
-    return last.mapInArrow(run, schema)
+    return last.mapInArrow(lean(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **params) -> DataFrame:

@@ -2,9 +2,11 @@
 
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import corpus_pipeline as cp
-from orrery.llm import mixing, pieces, quality
+import pyarrow as pa
+from orrery.llm import mixing, near_copies, pieces, quality
 from orrery.session import cut, table
 from tests.llm.test_mixing import brute_targets
 from tests.llm.test_near_copies import brute_kept
@@ -73,3 +75,22 @@ def test_empty_documents(spark):
     for _, stage in cp.STAGES:
         docs = cut(stage(spark, docs, DIR))
         assert docs.count() == 0
+
+
+def test_a_worker_gives_memory_back_after_its_task(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: run)
+    run = near_copies.signatures(df, "doc_id", "text")
+
+    def batches():
+        for _ in range(3):
+            texts = [f"{i} " + "x" * 8_000 for i in range(10_000)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+
+    def held():
+        return sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+    pa.default_memory_pool().release_unused()
+    before = held()
+    assert sum(b.num_rows for b in run(batches())) == 30_000
+    assert held() - before < 40
